@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from .op3_quality import op3_quality_rules, op3_sql
 from .op4_urls import OP4_SQL, op4_url_filter
 
-QUERIES = {"op4_url_filter": op4_url_filter}
-SQL = {"op4_url_filter": OP4_SQL}
+QUERIES = {"op3_quality_rules": op3_quality_rules, "op4_url_filter": op4_url_filter}
+SQL = {"op3_quality_rules": op3_sql(), "op4_url_filter": OP4_SQL}
