@@ -32,11 +32,11 @@ MIN_WORDS, MAX_REPEAT_SHARE, GRAM = 10, 20, 5
 MIN_GROUP, FENCE = 50, 3
 #: metric -> (its SQL over the counts, slack of its upper limit). Shares are per thousand.
 METRICS = {
-    "symbol_share": ("n_symbols * 1000 div greatest(word_chars, 1)", 40),
-    "shout_share": ("n_shouts * 1000 div greatest(word_chars, 1)", 40),
+    "symbol_share": ("n_symbols * 1000 div greatest(word_chars, 1)", 120),
+    "shout_share": ("n_shouts * 1000 div greatest(word_chars, 1)", 120),
     "caps_share": ("n_caps * 1000 div greatest(word_chars, 1)", 250),
-    "repeat_share": ("n_repeat_words * 1000 div greatest(n_words, 1)", 100),
-    "dup_line_share": ("n_dup_lines * 1000 div greatest(n_lines, 1)", 200),
+    "repeat_share": ("n_repeat_words * 1000 div greatest(n_words, 1)", 200),
+    "dup_line_share": ("n_dup_lines * 1000 div greatest(n_lines, 1)", 400),
     "word_length": ("word_chars * 100 div greatest(n_words, 1)", 300),
 }
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_caps long, n_shouts long"
