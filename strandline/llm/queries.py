@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .op3_quality import op3_quality_rules, op3_sql
 from .op4_urls import OP4_SQL, op4_url_filter
+from .op7_counts import op7_token_counts
 
-QUERIES = {"op3_quality_rules": op3_quality_rules, "op4_url_filter": op4_url_filter}
+QUERIES = {"op3_quality_rules": op3_quality_rules, "op4_url_filter": op4_url_filter, "op7_token_counts": op7_token_counts}
 SQL = {"op3_quality_rules": op3_sql(), "op4_url_filter": OP4_SQL}
