@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .op1_language import op1_language_id
+from .op2_lines import op2_line_chunks
 from .op10_decontaminate import OP10_SQL, op10_decontaminate
 from .op3_quality import op3_quality_rules, op3_sql
 from .op4_urls import OP4_SQL, op4_url_filter
@@ -10,5 +12,5 @@ from .op7_counts import op7_token_counts
 from .op8_ids import op8_token_ids
 from .op9_join import op9_ngram_join
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_url_filter, op5_best_fit_packing, op7_token_counts, op8_token_ids, op9_ngram_join, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_chunks, op3_quality_rules, op4_url_filter, op5_best_fit_packing, op7_token_counts, op8_token_ids, op9_ngram_join, op10_decontaminate)}
 SQL = {"op3_quality_rules": op3_sql(), "op4_url_filter": OP4_SQL, "op10_decontaminate": OP10_SQL}
