@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import ingest
+from . import graph, ingest
 
-MODULES = (ingest,)
+MODULES = (ingest, graph)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: s for m in MODULES for name, s in m.SQL.items()}
