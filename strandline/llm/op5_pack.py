@@ -39,7 +39,7 @@ TRIES = ((24, CAPACITY), (48, 16), (96, 0), (0, 0))
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece; ids stay in the worker."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 2000)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc, end = encoder(path), np.array([END_ID], np.uint32)

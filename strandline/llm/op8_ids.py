@@ -32,11 +32,12 @@ from .common import cut, need, small_batches
 MAGIC, END_ID, BLOCK_TOKENS = b"SLT1", 0, 1 << 18
 HEAD = struct.Struct("<4sIII")
 
-#: For each control byte: the four lengths, their sum, and for each of the 16 target bytes its source (9999 for none).
+#: For each control byte: the four lengths, their sum, and for each of the 16 target bytes its source (NONE where it has none).
+NONE = 99
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
 TOTALS = LENGTHS.sum(1)
 _first = np.cumsum(LENGTHS, 1) - LENGTHS
-SOURCES = np.where(np.arange(4)[None, None] < LENGTHS[:, :, None], _first[:, :, None] + np.arange(4)[None, None], 9999).reshape(256, 16)
+SOURCES = np.where(np.arange(4)[None, None] < LENGTHS[:, :, None], _first[:, :, None] + np.arange(4)[None, None], NONE).reshape(256, 16).astype(np.int32)
 
 
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
@@ -47,16 +48,21 @@ def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     quads[: len(v)] = extra
     quads = quads.reshape(-1, 4)
     control = quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6
-    return control.astype(np.uint8).tobytes(), v.view(np.uint8).reshape(-1, 4)[np.arange(4) <= extra[:, None]].tobytes()
+    most = int(extra.max(initial=0)) + 1
+    raw = v.astype("<u2").view(np.uint8).reshape(-1, 2) if most <= 2 else v.view(np.uint8).reshape(-1, 4)
+    return control.astype(np.uint8).tobytes(), raw[np.arange(raw.shape[1]) <= extra[:, None]].tobytes()
 
 
 def unpack(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     """The ``n`` numbers of ``pack``: every control byte selects its rows of the tables."""
-    first = np.cumsum(TOTALS[control]) - TOTALS[control]
-    padded = np.concatenate([data, np.zeros(17, np.uint8)])  # the last quad may be short
-    where = SOURCES[control]
-    got = np.where(where < 9999, padded[np.minimum(first[:, None] + where, len(data) + 16)], 0)
-    return got.astype(np.uint8).reshape(-1).view("<u4")[:n]
+    first = (np.cumsum(TOTALS[control]) - TOTALS[control]).astype(np.int32)
+    narrow = not (control & 0xAA).any()  # two bytes at most
+    sources = SOURCES.reshape(256, 4, 4)[:, :, : 2 if narrow else 4].reshape(256, -1)
+    padded = np.concatenate([data, np.zeros(NONE + 17, np.uint8)])  # absent bytes are read from behind the end
+    absent = len(data) + 16
+    where = np.where(sources < NONE, sources, absent)[control]
+    where = np.minimum(where + np.where(where < absent, first[:, None], 0), absent)
+    return padded[where].reshape(-1).view("<u2" if narrow else "<u4")[:n].astype(np.uint32)
 
 
 def write_block(ids: np.ndarray, null: np.ndarray, counts: np.ndarray, ranks: np.ndarray) -> bytes:
@@ -76,27 +82,34 @@ def read_block(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return ids, null, np.frombuffer(index, "<u4", docs, 9 * docs), ranks
 
 
+def width(path: str) -> str:
+    return "<u2" if encoder(path).lib.get_vocab_size() <= 1 << 16 else "<u4"
+
+
 def tokenized(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, crc, ids (u32, the end id last)."""
-    small_batches(docs.sparkSession)
+    """doc_id, n_tokens, crc (of u32 ids), ids (u16 where the vocabulary allows, else u32; the end id last)."""
+    small_batches(docs.sparkSession, 2000)
+    kind = width(path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc, end = encoder(path), np.array([END_ID], "<u4").tobytes()
+        enc, end, stop = encoder(path), np.array([END_ID], "<u4").tobytes(), np.array([END_ID], kind).tobytes()
         for b in batches:
-            raw = [x.astype("<u4").tobytes() + end for x in enc.encode(list(b["text"]))]
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n_tokens": [len(x) // 4 for x in raw], "crc": [zlib.crc32(x) for x in raw], "ids": raw})
+            ids = enc.encode(list(b["text"]))
+            crc = [zlib.crc32(end, zlib.crc32(x.astype("<u4").tobytes())) for x in ids]
+            raw = [x.astype(kind).tobytes() + stop for x in ids]
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n_tokens": [len(x) + 1 for x in ids], "crc": crc, "ids": raw})
 
     return need(docs, "doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, crc long, ids binary")
 
 
-def frequencies(tokens: DataFrame) -> np.ndarray:
+def frequencies(tokens: DataFrame, kind: str) -> np.ndarray:
     """Ids by falling corpus frequency, ties by id. Each task sends one count per id it saw: at most the vocabulary."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = np.zeros(0, np.int64)
         for b in batches:
             if len(b):
-                got = np.bincount(np.frombuffer(b"".join(b["ids"]), "<u4"))
+                got = np.bincount(np.frombuffer(b"".join(b["ids"]), kind))
                 wide = np.zeros(max(len(got), len(seen)), np.int64)
                 wide[: len(seen)] += seen
                 wide[: len(got)] += got
@@ -108,10 +121,11 @@ def frequencies(tokens: DataFrame) -> np.ndarray:
     return np.array([r["id"] for r in sorted(rows, key=lambda r: (-r["n"], r["id"]))], np.uint32)
 
 
-def write_ids(tokens: DataFrame, by_rank: np.ndarray, tag: str = "token-blocks") -> DataFrame:
+def write_ids(tokens: DataFrame, by_rank: np.ndarray, kind: str, tag: str = "token-blocks") -> DataFrame:
     """The blocks' table, written: part, block, n_docs, n_tokens, ahead (the part's tokens before the block), payload."""
     rank_of = np.zeros(int(by_rank.max(initial=0)) + 1, np.uint32)
     rank_of[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
+    unit = np.dtype(kind).itemsize
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, block, held, size, ahead = TaskContext.get().partitionId(), 0, [], 0, 0
@@ -119,14 +133,14 @@ def write_ids(tokens: DataFrame, by_rank: np.ndarray, tag: str = "token-blocks")
         def close() -> pd.DataFrame:
             ids = np.array([0 if pd.isna(d) else d for d, _ in held], np.int64)
             null = np.array([pd.isna(d) for d, _ in held], bool)
-            ranks = rank_of[np.frombuffer(b"".join(x for _, x in held), "<u4")]
-            payload = write_block(ids, null, np.array([len(x) // 4 for _, x in held]), ranks)
+            ranks = rank_of[np.frombuffer(b"".join(x for _, x in held), kind)]
+            payload = write_block(ids, null, np.array([len(x) // unit for _, x in held]), ranks)
             return pd.DataFrame({"part": [part], "block": [block], "n_docs": [len(held)], "n_tokens": [len(ranks)], "ahead": [ahead], "payload": [payload]})
 
         for b in batches:
             for doc, raw in zip(b["doc_id"].astype("Int64"), b["ids"], strict=True):
                 held.append((doc, raw))
-                size += len(raw) // 4
+                size += len(raw) // unit
                 if size >= BLOCK_TOKENS:
                     yield close()
                     block, held, size, ahead = block + 1, [], 0, ahead + size
@@ -159,6 +173,7 @@ def read_ids(blocks: DataFrame, by_rank: np.ndarray) -> DataFrame:
 def op8_token_ids(spark, sf_dir) -> DataFrame:
     import public_tokenizers
 
-    tokens = cut(tokenized(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json")), "tokens")
-    by_rank = frequencies(tokens)
-    return read_ids(write_ids(tokens, by_rank), by_rank)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokens, kind = cut(tokenized(spark.read.parquet(f"{sf_dir}/documents.parquet"), path), "tokens"), width(path)
+    by_rank = frequencies(tokens, kind)
+    return read_ids(write_ids(tokens, by_rank, kind), by_rank)
