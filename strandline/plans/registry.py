@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import graph, ingest
+from . import analysis, graph, ingest
 
-MODULES = (ingest, graph)
+MODULES = (ingest, graph, analysis)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: s for m in MODULES for name, s in m.SQL.items()}
