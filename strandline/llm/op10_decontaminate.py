@@ -100,8 +100,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, tag: str = "decontam")
     near = met.join(F.broadcast(items) if size <= BROADCAST_ROWS else items, "item")
     per_doc = cut(near.groupBy("rid").agg(F.collect_list(F.struct("item_id", "len", "windows")).alias("items")), f"{tag}-near")
     words = with_words(keyed.join(per_doc, "rid").dropDuplicates(["rid"])).select("rid", "items", "words", "n")
-    at = "filter(sequence(1, n - it.len + 1), i -> array_contains(it.windows, array_join(slice(words, i, it.len), ' ')))"
-    found = words.selectExpr("rid", f"filter(transform(items, it -> struct(cast(it.item_id AS string) AS id, it.len AS len, IF(n < it.len, array(), {at}) AS at)), x -> size(x.at) > 0) AS hits")
+    # the words are bound to a lambda's variable: as a column, the optimiser would put the split itself into the inner loop
+    at = "filter(sequence(1, size(w) - it.len + 1), i -> array_contains(it.windows, array_join(slice(w, i, it.len), ' ')))"
+    of_words = f"transform(items, it -> struct(cast(it.item_id AS string) AS id, it.len AS len, IF(size(w) < it.len, array(), {at}) AS at))"
+    found = words.selectExpr("rid", f"filter(transform(array(words), w -> {of_words})[0], x -> size(x.at) > 0) AS hits")
     spans = "array_sort(array_distinct(flatten(transform(hits, x -> transform(x.at, i -> struct(i AS s, i + x.len AS e))))))"
     joined = found.selectExpr("rid", f"{spans} AS spans", "array_distinct(transform(hits, x -> x.id)) AS ids")
     cover = "aggregate(spans, struct(0 AS e, 0L AS n), (a, x) -> struct(greatest(a.e, x.e) AS e, a.n + greatest(0, x.e - greatest(a.e, x.s)) AS n), a -> a.n)"
