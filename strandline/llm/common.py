@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.storage import cut, shared_dir
+
+__all__ = ["BATCH_ROWS", "cut", "fresh", "light", "need", "row_key", "shared_dir", "small_batches", "table"]
+
+#: The most that a side of a join may take to be broadcast.
+LIGHT_BYTES = 32_000_000
 #: Rows in one Arrow batch sent to Python. Documents average a few kB, so a batch is a few MB.
 BATCH_ROWS = 1000
 
@@ -16,21 +19,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where that is unset (tests), a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="strandline-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there, on storage every executor reaches."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def light(df: DataFrame, row_bytes: int) -> DataFrame:
+    """``df`` marked for broadcast if its rows, counted, take at most ``LIGHT_BYTES``; else as it is, for a shuffled join. ``df`` should be a written table."""
+    return F.broadcast(df) if df.count() * row_bytes <= LIGHT_BYTES else df
 
 
 def fresh(taken, *names: str) -> list[str]:

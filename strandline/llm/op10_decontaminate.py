@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, need, row_key
+from .common import cut, fresh, light, need, row_key
 
 SPAN, GRAM = 10, 5
 BROADCAST_ROWS = 200_000
@@ -99,7 +99,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, tag: str = "decontam")
     met = prints.select("rid", F.explode("fps").alias("fp")).join(F.broadcast(wanted) if size <= BROADCAST_ROWS else wanted, "fp").select("rid", "item").distinct()
     near = met.join(F.broadcast(items) if size <= BROADCAST_ROWS else items, "item")
     per_doc = cut(near.groupBy("rid").agg(F.collect_list(F.struct("item_id", "len", "windows")).alias("items")), f"{tag}-near")
-    words = with_words(keyed.join(per_doc, "rid").dropDuplicates(["rid"])).select("rid", "items", "words", "n")
+    texts = keyed.join(light(per_doc.select("rid"), 60), "rid").dropDuplicates(["rid"])
+    words = with_words(texts.join(per_doc, "rid")).select("rid", "items", "words", "n")
     # the words are bound to a lambda's variable: as a column, the optimiser would put the split itself into the inner loop
     at = "filter(sequence(1, size(w) - it.len + 1), i -> array_contains(it.windows, array_join(slice(w, i, it.len), ' ')))"
     of_words = f"transform(items, it -> struct(cast(it.item_id AS string) AS id, it.len AS len, IF(size(w) < it.len, array(), {at}) AS at))"
@@ -121,9 +122,9 @@ def decontamination_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a hit word go; all columns of the others stay as they are."""
     (key, k2) = fresh(docs.columns, "rid", "rid2")
     found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "stage")
-    gone = found.where("n_hit > 0").select(F.col("rid").alias(k2)).distinct()
+    gone = cut(found.where("n_hit > 0").select(F.col("rid").alias(k2)).distinct(), "stage-gone")
     keyed = docs.withColumn(key, row_key(F.col("doc_id"), F.col("text")))
-    return keyed.join(gone, F.col(key) == F.col(k2), "left_anti").select(*(f"`{c}`" for c in docs.columns))
+    return keyed.join(light(gone, 60), F.col(key) == F.col(k2), "left_anti").select(*(f"`{c}`" for c in docs.columns))
 
 
 WORDS_SQL = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
