@@ -11,7 +11,8 @@
 
 Null texts have no line and stay null. Null doc_ids come after all others. Repeated rows (same doc_id and text) are one document with
 one decision; equal texts under different doc_ids are copies and lose what the first keeps. Hot lines and chunks are counted with
-partial aggregation and joined as skewed keys, never gathered.
+partial aggregation and joined as skewed keys, never gathered. What is decided about documents is narrow; it is broadcast to their
+texts while its counted rows stay within a bound, and beyond it the texts are shuffled to it.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, need, row_key
+from .common import cut, fresh, light, need, row_key
 
 WINDOW, DIVISOR, LONG_WORDS, MIN_WORDS = 2, 8, 50, 20
 WORD = "[^\\\\x20\\\\x09-\\\\x0D]+"
@@ -47,8 +48,8 @@ def repeated(docs: DataFrame, tag: str = "lines") -> DataFrame:
     found = cut(chunks(lines), f"{tag}-chunks")
     again = found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     both = found.join(again, "key")
-    per_doc = both.groupBy("rid").agg(F.collect_list(F.struct("s", "e", "words", "key")).alias("cs"))
-    texts = keyed.join(per_doc, "rid").dropDuplicates(["rid"]).selectExpr("rid", "doc_id", "cs", "split(text, '\\n', -1) AS lines")
+    per_doc = cut(both.groupBy("rid").agg(F.collect_list(F.struct("s", "e", "words", "key")).alias("cs")), f"{tag}-candidates")
+    texts = keyed.join(light(per_doc.select("rid"), 60), "rid").join(per_doc, "rid").dropDuplicates(["rid"]).selectExpr("rid", "doc_id", "cs", "split(text, '\\n', -1) AS lines")
     body = "explode(transform(cs, c -> struct(c.s AS s, c.e AS e, c.words AS words, c.key AS key, array_join(slice(lines, c.s + 1, c.e - c.s), '\\n') AS body))) AS c"
     bodies = texts.selectExpr("rid", "doc_id", "size(lines) AS n_lines", body)
     bodies = cut(bodies.select("rid", "doc_id", "n_lines", "c.*"), f"{tag}-bodies")
@@ -67,7 +68,7 @@ def without_repeats(docs: DataFrame, tag: str = "lines") -> tuple[DataFrame, lis
     names = fresh(docs.columns, "rid", "rid2", "removed", "removed_lines", "removed_words", "emptied", "gap_lines")
     rid, rid2, removed, n_lines, n_words, emptied, total = names
     gone = cut(repeated(docs, tag), f"{tag}-removed").select(F.col("rid").alias(rid2), F.col("removed").alias(removed), F.col("removed_lines").alias(n_lines), F.col("removed_words").alias(n_words), F.col("n_lines").alias(total))
-    joined = docs.withColumn(rid, row_key(F.col("doc_id"), F.col("text"))).join(gone, F.col(rid) == F.col(rid2), "left")
+    joined = docs.withColumn(rid, row_key(F.col("doc_id"), F.col("text"))).join(light(gone, 160), F.col(rid) == F.col(rid2), "left")
     keep = f"""transform(array(split(`text`, '\\n', -1)), x -> array_join(flatten(transform(sequence(0, size({removed})),
         k -> slice(x, IF(k = 0, 0, {removed}[k - 1].e) + 1, IF(k = size({removed}), {total}, {removed}[k].s) - IF(k = 0, 0, {removed}[k - 1].e)))), '\\n'))[0]"""
     left = joined.withColumn("text", F.when(F.col(removed).isNull(), F.col("text")).otherwise(F.expr(keep)))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, fresh, need, row_key, small_batches
+from .common import cut, fresh, light, need, row_key, small_batches
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\r\x0b\x0c"
@@ -144,8 +144,8 @@ def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     (key, k2) = fresh(docs.columns, "rid", "rid2")
     keyed = docs.withColumn(key, row_key(F.col("doc_id"), F.col("text")))
     counted = cut(measured(keyed, key, "lang", "source"), "quality-counts")
-    gone = judge(counted).where(~F.col("kept")).select(F.col(key).alias(k2)).distinct()
-    return keyed.join(gone, F.col(key) == F.col(k2), "left_anti").select(*(f"`{c}`" for c in docs.columns))
+    gone = cut(judge(counted).where(~F.col("kept")).select(F.col(key).alias(k2)).distinct(), "quality-gone")
+    return keyed.join(light(gone, 60), F.col(key) == F.col(k2), "left_anti").select(*(f"`{c}`" for c in docs.columns))
 
 
 def _sql_bucket(v: str) -> str:
