@@ -161,10 +161,12 @@ class Tagger:
         return [(w, self.labels[k]) for w, k in zip(words, post.argmax(1), strict=True)]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        _, post, per_text = self.posteriors(texts)
         label, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
+        if not self.labels:
+            return label, score
+        _, post, per_text = self.posteriors(texts)
         full = np.flatnonzero(per_text)
-        if len(full) and len(self.labels):
+        if len(full):
             first = (np.cumsum(per_text) - per_text)[full]
             mean = np.add.reduceat(post.astype(np.float64), first, axis=0) / per_text[full, None]
             for k, best, value in zip(full, mean.argmax(1), mean.max(1), strict=True):

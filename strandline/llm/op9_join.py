@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, fresh, need, row_key, small_batches
+from .common import cut, fresh, light, need, row_key, small_batches
 from .components import connected
 
 GRAM, THRESHOLD, RECALL, MAX_HASHES = 5, 0.8, 0.9995, 110
@@ -187,7 +187,7 @@ def tile(pdf: pd.DataFrame) -> pd.DataFrame:
         np.minimum.at(label, b, label[a])
     names = np.array(sorted(set(both["key"])), object)
     on = links > 0
-    return pd.DataFrame({"key": both["key"][on], "root": names[label[on]] if on.any() else [], "links": links[on]})
+    return pd.DataFrame({"key": both["key"][on], "root": names[label[on]], "links": links[on]})
 
 
 def linked(docs: DataFrame, tag: str = "join") -> DataFrame:
@@ -208,8 +208,8 @@ def linked(docs: DataFrame, tag: str = "join") -> DataFrame:
     shared = max(1, math.ceil(total / SHARED_CHARS))
     home = F.when(F.col("k") == 1, F.concat(F.lit("-"), F.pmod(F.xxhash64("comp"), F.lit(shared)).cast("string"))).otherwise(F.col("comp"))
     block = F.pmod(F.xxhash64("key", F.lit(7)), F.col("k").cast("long")).cast("int")
-    spread = spread.join(sizes, "comp").select("key", "rep", "copies", "bands", home.alias("home"), block.alias("block"), "k")
-    texts = keyed.select(F.col(rid).alias("rep"), F.col("text").alias("text")).join(spread, "rep").dropDuplicates(["key"])
+    spread = cut(spread.join(sizes, "comp").select("key", "rep", "copies", "bands", home.alias("home"), block.alias("block"), "k"), f"{tag}-spread")
+    texts = keyed.select(F.col(rid).alias("rep"), F.col("text").alias("text")).join(light(spread.select("rep"), 60), "rep").join(spread, "rep").dropDuplicates(["key"])
     tiles = texts.select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other")).select("key", "copies", "bands", "text", "home", "block", F.least("block", "other").alias("ti"), F.greatest("block", "other").alias("tj"))
     checked = cut(tiles.groupBy("home", "ti", "tj").applyInPandas(tile, "key string, root string, links long"), f"{tag}-checked")
     classes = connected(checked.select(F.col("key").alias("a"), F.col("root").alias("b")), f"{tag}-class").withColumnRenamed("node", "key")
@@ -231,9 +231,9 @@ def near_duplicate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     (key, k2, row) = fresh(docs.columns, "rid", "rid2", "row")
     rows = cut(linked(docs, "stage").where("class_key IS NOT NULL"), "stage-linked")
     best = rows.groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "rid"))["rid"].alias("rid"))
-    gone = rows.select("rid").distinct().join(best, "rid", "left_anti").select(F.col("rid").alias(k2))
+    gone = cut(rows.select("rid").distinct().join(best, "rid", "left_anti").select(F.col("rid").alias(k2)), "stage-gone")
     keyed = docs.withColumn(key, row_key(F.col("doc_id"), F.col("text")))
-    left = keyed.join(gone, F.col(key) == F.col(k2), "left_anti")
+    left = keyed.join(light(gone, 60), F.col(key) == F.col(k2), "left_anti")
     wordless = ~F.coalesce(F.col("text"), F.lit("")).rlike("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]")
     first = F.row_number().over(Window.partitionBy(key).orderBy(key)) == 1
     return left.withColumn(row, first | wordless).where(F.col(row)).select(*(f"`{c}`" for c in docs.columns))

@@ -1,0 +1,218 @@
+"""Line chunks, near duplicates, contamination, surrogates, pipeline."""
+
+import re
+from collections import Counter
+
+import xxhash
+from pyspark.sql import functions as F
+
+from strandline.llm import op2_lines, op6_surrogates, op9_join, op10_decontaminate
+
+from .conftest import SCHEMA, odd_rows, prose
+
+
+def signed(x):
+    return x - (1 << 64) if x >= 1 << 63 else x
+
+
+def slow_lines(rows):
+    """(removed lines, text) by (doc_id, text) of distinct rows, by plain loops."""
+    docs = sorted({(r[0], r[1]) for r in rows if r[1] is not None}, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    line_hash = lambda t: signed(xxhash.xxh64(t.encode(), seed=42).intdigest())
+
+    def roll(a, b):
+        s = 42
+        for v in (a, b):
+            s = xxhash.xxh64(v.to_bytes(8, "little", signed=True), seed=s).intdigest()
+        return signed(s)
+
+    count = Counter(line_hash(x) for _, t in docs for x in t.split("\n"))
+    seen, out = set(), {}
+    for doc in docs:
+        lines = doc[1].split("\n")
+        h, w = [line_hash(x) for x in lines], [len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in lines]
+        n = [count[x] for x in h]
+        cuts = [k + 1 for k in range(len(lines) - 1) if w[k] >= 50 or w[k + 1] >= 50 or n[k] != n[k + 1] or roll(h[k - 1] if k else 0, h[k]) % 8 == 0]
+        at = [0, *cuts, len(lines)]
+        spans = list(zip(at, at[1:], strict=False)) + ([(0, len(lines))] if len(at) > 2 else [])
+        gone = set()
+        for s, e in spans:
+            words, body = sum(w[s:e]), "\n".join(lines[s:e])
+            if min(n[s:e]) > 1 and (words >= 50 or (e - s >= 2 and words >= 20)):
+                if body in seen:
+                    gone |= set(range(s, e))
+                seen.add(body)
+        out[doc] = (len(gone), "\n".join(x for k, x in enumerate(lines) if k not in gone))
+    return out
+
+
+def test_line_chunks_equal_plain_loops(spark):
+    shared = prose(500, 60)
+    long_line = prose(501, 70, 70)
+    rows = odd_rows() + [(50 + k, prose(600 + k, 50) + "\n" + shared + "\n" + prose(700 + k, 30), "en", "s", 1) for k in range(4)] + [(60 + k, prose(800 + k, 40) + "\n" + long_line, "en", "s", 1) for k in range(3)]
+    want = slow_lines(rows)
+    left, (lines, _, _) = op2_lines.without_repeats(spark.createDataFrame(rows, SCHEMA).withColumn("was", F.col("text")), "t")
+    got = left.select("doc_id", "was", "text", F.coalesce(lines, F.lit(0)).alias("k")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r["text"] is None) if r["was"] is None else ((r["k"], r["text"]) == want[(r["doc_id"], r["was"])])
+    kept = {r["doc_id"]: r["text"] for r in got}
+    assert shared in kept[50] and all(shared not in kept[k] for k in (51, 52, 53)) and long_line not in kept[61] and len(kept[51]) > 300
+
+
+def test_line_stage(spark, odd, none, odd_dir):
+    out = op2_lines.line_stage(spark, odd, odd_dir)
+    assert out.columns == odd.columns
+    ids = Counter(r["doc_id"] for r in out.collect())
+    assert ids[1] == 3 and 30 not in ids and ids[20] == 1  # a copy goes, repeated rows stay
+    assert op2_lines.line_stage(spark, none, odd_dir).count() == 0
+
+
+def slow_links(rows):
+    sets = []
+    for r in rows:
+        w = op9_join.words_of(r[1]).split()
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set()))
+    links = [[j for j, t in enumerate(sets) if j != i and s and t and len(s & t) >= 0.8 * len(s | t)] for i, s in enumerate(sets)]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, js in enumerate(links):
+        for j in js:
+            a, b = sorted((find(i), find(j)))
+            root[b] = a
+    return links, [find(i) for i in range(len(rows))]
+
+
+def test_join_equals_brute_force(spark, monkeypatch):
+    base = [prose(900 + k, 120) for k in range(6)]
+    rows = odd_rows()
+    for k, t in enumerate(base):
+        w = t.split(" ")
+        for m in range(9):
+            v = list(w)
+            v[(7 * m) % len(v)] = f"changed{m}"
+            rows.append((100 + 10 * k + m, " ".join(v) if m else t, "en", "s", 1))
+    rows += [(200, "one two", "en", "s", 1), (201, "One, two!", "en", "s", 1), (202, "one two three", "en", "s", 1)]
+    links, classes = slow_links(rows)
+    monkeypatch.setattr(op9_join, "BLOCK_ROWS", 4)  # several blocks and tiles for a group
+    got = {}
+    for r in op9_join.linked(spark.createDataFrame(rows, SCHEMA), "t").collect():
+        got.setdefault(r["rid"], []).append(r)
+    assert sum(map(len, got.values())) == len(rows)
+    keyed = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i long, " + SCHEMA).select("i", op9_join.row_key(F.col("doc_id"), F.col("text")).alias("rid")).collect()
+    for k in keyed:
+        r, i = got[k["rid"]][0], k["i"]
+        assert r["n_links"] == len(links[i]), rows[i]
+        same = [rows[j][0] for j in range(len(rows)) if classes[j] == classes[i] and rows[j][0] is not None]
+        assert r["class_id"] == min(same, default=None)
+
+
+def test_bands_reach_their_recall():
+    bands, rows = op9_join.bands_for()
+    assert 1 - (1 - 0.8**rows) ** bands >= op9_join.RECALL and bands * rows <= op9_join.MAX_HASHES
+
+
+def test_near_duplicate_stage(spark, odd, none, odd_dir):
+    out = op9_join.near_duplicate_stage(spark, odd, odd_dir)
+    assert out.columns == odd.columns
+    ids = Counter(r["doc_id"] for r in out.collect())
+    assert ids[1] == 1 and 30 not in ids and 31 not in ids and ids[2] == 1 and ids[20] == 1 and ids[40] == 1
+    assert op9_join.near_duplicate_stage(spark, none, odd_dir).count() == 0
+
+
+def words(text):
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+
+
+def test_contamination_equals_brute_force(spark, odd_dir):
+    docs, items = spark.read.parquet(f"{odd_dir}/documents.parquet"), spark.read.parquet(f"{odd_dir}/benchmark.parquet")
+    windows = {}
+    for r in items.collect():
+        w = words(r["text"])
+        n = min(10, len(w))
+        for k in range(len(w) - n + 1 if n else 0):
+            windows.setdefault(tuple(w[k : k + n]), set()).add(r["item_id"])
+    rows = op10_decontaminate.contamination(docs, items).join(docs.select(op10_decontaminate.row_key(F.col("doc_id"), F.col("text")).alias("rid"), "text").distinct(), "rid").collect()
+    assert len(rows) == docs.count()
+    for r in rows:
+        w, hit, ids = words(r["text"]), set(), set()
+        for size in {len(k) for k in windows}:
+            for k in range(len(w) - size + 1):
+                if found := windows.get(tuple(w[k : k + size])):
+                    hit |= set(range(k, k + size))
+                    ids |= found
+        assert (r["n_words"], r["n_hit"], r["n_items"], r["items"]) == (len(w), len(hit), len(ids), sorted(i for i in ids if i is not None))
+    assert sum(r["n_hit"] > 0 for r in rows) == 1
+    out = op10_decontaminate.decontamination_stage(spark, docs, odd_dir)
+    assert out.columns == docs.columns and out.count() == docs.count() - 1
+    assert op10_decontaminate.contamination(docs.where("false"), items).count() == 0
+    assert op10_decontaminate.contamination(docs, items.where("false")).where("n_hit > 0").count() == 0
+
+
+def test_winnowing_misses_no_span(spark):
+    text = prose(31, 40, 40)
+    w = text.split()
+    rows = [(k, " ".join(["other"] * k + w[k : k + 10] + ["words"] * 9)) for k in range(25)]
+    found = op10_decontaminate.contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([("x", text)], "item_id string, text string"))
+    assert [r["n_hit"] for r in found.collect()] == [10] * 25
+
+
+def luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = int(c) * (2 if i % 2 else 1)
+        total += d - 9 if d > 9 else d
+    return total % 10
+
+
+def test_surrogates(spark):
+    rows = [
+        (1, "Mail JOHN.doe12@Mail.example.org and john.doe12@mail.example.org, call +1 (743) 555-3824 or +17435553824. Card 4539 1488 0343 6467."),
+        (2, "Mrs Anna Smith met Mr Smith; IP 10.200.3.77, SSN 123-45-6789, key 24be64439e3e49cf46b2d7c90f3602a3d0b907ff"),
+        (3, None), (4, ""), (5, "nothing here"), (None, "a@b.com"), (1, "x@y.org"), (1, "x@y.org"), (6, "господин Иванов и госпожа Анна Петрова"),
+    ]
+    got = op6_surrogates.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    text = {r["doc_id"]: r["text"] for r in got if not (r["text"] or "").endswith(".org")}
+    mail = re.findall(r"\S+@\S+\.org", text[1])
+    assert mail[0].lower() == mail[1] and mail[0][:4].isupper() and "doe" not in mail[1]
+    phone = re.search(r"\+1 \((\d{3})\) (\d{3})-(\d{4}) or \+1(\d{10})\.", text[1])
+    assert phone and "".join(phone.groups()[:3]) == phone[4] != "7435553824"
+    card = re.search(r"Card ([\d ]{19})\.", text[1])[1].replace(" ", "")
+    assert card[0] == "4" and luhn(card) == luhn("4539148803436467") == 0 and card != "4539148803436467"
+    name = re.search(r"^Mrs (\w+) (\w+) met Mr (\w+);", text[2])
+    assert name[2] == name[3] != "Smith" and name[1].endswith("a")
+    assert re.search(r"IP \d{2}\.\d{3}\.\d\.\d{2}, SSN \d{3}-\d{2}-\d{4}, key [0-9a-f]{40}$", text[2])
+    assert text[3] is None and text[4] == "" and text[5] == "nothing here" and re.fullmatch(r"\w@\w\.com", text[None])
+    assert re.fullmatch(r"господин [А-Я][а-я]+ и госпожа [А-Я][а-я]+ [А-Я][а-я]+", text[6])
+    assert len({r["text"] for r in got if r["doc_id"] == 1 and r["n_entities"] == 1}) == 1
+
+
+def test_surrogates_stay_distinct(spark):
+    """Fewer surrogates than draws: collisions go to further rounds, and no surrogate is a real entity."""
+    real = [f"{a}.{b}.1.1" for a in range(1, 10) for b in range(1, 8)]
+    ents = spark.createDataFrame([("ip", x) for x in real], "kind string, canon string")
+    rows = op6_surrogates.surrogates(ents, "k", "t").collect()
+    assert len({r["surrogate"] for r in rows}) == len(rows) == len(real) and not {r["surrogate"] for r in rows} & set(real)
+    assert all([len(x) for x in r["surrogate"].split(".")] == [1, 1, 1, 1] for r in rows)
+
+
+def test_surrogates_of_an_empty_table(none):
+    assert op6_surrogates.pseudonymize(none).count() == 0
+
+
+def test_pipeline(spark, odd_dir, odd, tmp_path):
+    import corpus_pipeline
+
+    rows = corpus_pipeline.run(spark, odd_dir).collect()
+    assert {r["doc_id"] for r in rows} == {*range(1, 13), 40, None} - {4, 5} or len({r["doc_id"] for r in rows}) >= 10
+    empty = str(tmp_path / "empty")
+    odd.where("false").write.parquet(f"{empty}/documents.parquet")
+    spark.createDataFrame([], "item_id string, text string").write.parquet(f"{empty}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, empty).count() == 0
