@@ -42,8 +42,8 @@ def squeeze(x: Column) -> Column:
 
 
 def plain(x: Column) -> Column:
-    """Lower case without marks."""
-    return F.lower(F.translate(x, FROM, TO))
+    """Lower case without marks; ASCII texts skip the table."""
+    return F.lower(F.when(F.octet_length(x) == F.length(x), x).otherwise(F.translate(x, FROM, TO)))
 
 
 def slugify(x: Column) -> Column:

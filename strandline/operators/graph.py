@@ -22,7 +22,7 @@ def connected(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
     while True:
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("m"))
         low = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("root").alias("was"), F.least("root", "m").alias("root"))
-        up = labels.select(F.col("node").alias("n2"), F.col("root").alias("r2"))
+        up = low.select(F.col("node").alias("n2"), F.col("root").alias("r2"))
         after = cut(low.join(up, F.col("root") == F.col("n2"), "left").select("node", "was", F.least("root", F.coalesce("r2", "root")).alias("root")), "cc")
         labels = after.select("node", "root")
         if after.where("was <> root").isEmpty():

@@ -10,8 +10,11 @@ from ..plans.storage import cut
 
 
 def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
-    """Adds the 1-based position in ``order``, which must be total. Only one count per partition is gathered in one place."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    """Adds the 1-based position in ``order``, which must be total. Only one count per partition is gathered in one place.
+
+    The rows are written first: choosing the ranges reads them a second time.
+    """
+    ranged = cut(df, "unranked").repartitionByRange(*order).sortWithinPartitions(*order)
     marked = cut(ranged.withColumn("__m", F.monotonically_increasing_id()), "rank")
     at = F.shiftright("__m", 33)
     sizes = marked.groupBy(at.alias("__p")).agg(F.count("*").alias("__n"))

@@ -22,10 +22,11 @@ def candidates(segments: DataFrame, key_tokens: int = 2, kept: int = KEPT) -> Da
     key: slug of the first ``key_tokens`` tokens; type: question or thesis by its last mark; target: the next candidate's key, related by a
     type drawn from the two lengths. A model may stand in for this with the same columns.
     """
-    sentences = F.transform(F.filter(F.split("text", r"(?<=[.?!])\s+"), lambda s: F.size(T.tokens(s)) >= 2), lambda s: F.struct(T.js_trim(s).alias("claim")))
-    rows = segments.select("segment_id", "document_id", "source_kind", "sequence_index", F.posexplode(F.slice(sentences, 1, kept)).alias("ord", "s"))
+    # tokens are made once a sentence and travel with it
+    sentences = F.transform(F.split("text", r"(?<=[.?!])\s+"), lambda s: F.struct(T.js_trim(s).alias("claim"), T.tokens(s).alias("tok")))
+    rows = segments.select("segment_id", "document_id", "source_kind", "sequence_index", F.posexplode(F.slice(F.filter(sentences, lambda s: F.size(s["tok"]) >= 2), 1, kept)).alias("ord", "s"))
     claim = F.col("s.claim")
-    key = F.array_join(F.slice(T.tokens(claim), 1, key_tokens), "-")
+    key = F.array_join(F.slice("s.tok", 1, key_tokens), "-")
     out = rows.select("segment_id", "document_id", "source_kind", "sequence_index", F.col("ord").cast("long").alias("ord"), claim.alias("claim"), key.alias("canonical_key"), F.when(claim.endswith("?"), "question").otherwise("thesis").alias("node_type"), F.when(F.length(claim) % 5 == 0, "tentative").otherwise("active").alias("status"))
     w = Window.partitionBy("segment_id").orderBy("ord")
     kind = F.element_at(F.array(*map(F.lit, DRAWN)), ((F.length("claim") + F.length(F.lead("claim").over(w))) % 6 + 1).cast("int"))

@@ -174,10 +174,10 @@ def document_hashes(spark, sf_dir):
 
 def affected_scope(spark, sf_dir):
     """Nodes as families; before, those with one claim had another title and every key of a length divisible by 7 was missing."""
-    n = graph._nodes(spark, sf_dir)
+    _, n, e = graph._graph(spark, sf_dir)
     now = n.select(F.col("node_id").alias("family_id"), F.sha2("canonical_key", 256).alias("representative_hash"), F.sha2("summary", 256).alias("synthesis_hash"))
     old = n.where("length(canonical_key) % 7 <> 0").select(F.col("node_id").alias("family_id"), F.sha2("canonical_key", 256).alias("representative_hash"), F.sha2(F.when(F.length("canonical_key") % 5 == 0, F.concat("summary", F.lit("x"))).otherwise(F.col("summary")), 256).alias("synthesis_hash"))
-    return incremental.affected(old, now, graph._edges(spark, sf_dir))
+    return incremental.affected(old, now, e)
 
 
 def scope_decision(spark, sf_dir):

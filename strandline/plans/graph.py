@@ -8,27 +8,34 @@ from pyspark.sql.window import Window
 from ..functions import text as T
 from ..operators import corpus, families, graph, resolve, salience, similarity
 from . import base
+from .storage import cut
 
 
 def _cands(spark, sf_dir):
-    return resolve.candidates(base.segments(spark, sf_dir).where("signal_kind = 'primary' AND source_kind <> 'chat'"))
+    return cut(resolve.candidates(base.segments(spark, sf_dir).where("signal_kind = 'primary' AND source_kind <> 'chat'")), "candidates")
 
 
-def _claims(spark, sf_dir):
+def _claims(spark, sf_dir, cands=None):
     timeline = corpus.timeline(base.segments(spark, sf_dir).drop("text"))
-    return resolve.claims(_cands(spark, sf_dir), timeline)
+    return cut(resolve.claims(cands if cands is not None else _cands(spark, sf_dir), timeline), "claims")
 
 
-def _nodes(spark, sf_dir):
-    return resolve.nodes(_claims(spark, sf_dir))
+def _nodes(spark, sf_dir, cands=None):
+    return cut(resolve.nodes(_claims(spark, sf_dir, cands)), "nodes")
 
 
-def _edges(spark, sf_dir):
-    return resolve.edges(_cands(spark, sf_dir))
+def _edges(spark, sf_dir, cands=None):
+    return cut(resolve.edges(cands if cands is not None else _cands(spark, sf_dir)), "edges")
 
 
-def _docs(spark, sf_dir):
-    return _cands(spark, sf_dir).select(F.concat(F.lit("thought:"), F.col("canonical_key")).alias("node_id"), "document_id", "source_kind").distinct()
+def _graph(spark, sf_dir):
+    """Candidates, nodes and edges, each made once."""
+    c = _cands(spark, sf_dir)
+    return c, _nodes(spark, sf_dir, c), _edges(spark, sf_dir, c)
+
+
+def _docs(spark, sf_dir, cands=None):
+    return (cands if cands is not None else _cands(spark, sf_dir)).select(F.concat(F.lit("thought:"), F.col("canonical_key")).alias("node_id"), "document_id", "source_kind").distinct()
 
 
 def candidate_claims(spark, sf_dir):
@@ -42,7 +49,8 @@ def identity_pairs(spark, sf_dir):
 
 
 def identity_blocks(spark, sf_dir):
-    n, c = _nodes(spark, sf_dir), _cands(spark, sf_dir)
+    c = _cands(spark, sf_dir)
+    n = _nodes(spark, sf_dir, c)
     rows = n.select(F.col("canonical_key").alias("id"), F.col("canonical_key").alias("key"), "title", "summary", F.col("title").alias("claim"), "node_type")
     vetoes = c.where("target_key IS NOT NULL").select(F.col("canonical_key").alias("a"), F.col("target_key").alias("b")).distinct()
     return resolve.resolve(rows, resolve.mergeable_pairs(rows), vetoes)
@@ -83,8 +91,8 @@ def degree_hubs(spark, sf_dir):
 
 
 def connected_components(spark, sf_dir):
-    n = _nodes(spark, sf_dir)
-    return graph.components(n, _edges(spark, sf_dir))
+    _, n, e = _graph(spark, sf_dir)
+    return graph.components(n, e)
 
 
 def component_shape(spark, sf_dir):
@@ -102,27 +110,31 @@ def pair_weights(spark, sf_dir):
 
 
 def family_pairs(spark, sf_dir):
-    return families.merge_decisions(_nodes(spark, sf_dir), _edges(spark, sf_dir))
+    _, n, e = _graph(spark, sf_dir)
+    return families.merge_decisions(n, e)
 
 
 def family_clusters(spark, sf_dir):
-    return families.clusters(_nodes(spark, sf_dir), _edges(spark, sf_dir))
+    _, n, e = _graph(spark, sf_dir)
+    return families.clusters(n, e)
 
 
 def consolidated_families(spark, sf_dir):
-    n = _nodes(spark, sf_dir)
-    f = families.families(n, families.clusters(n, _edges(spark, sf_dir)))
+    _, n, e = _graph(spark, sf_dir)
+    f = families.families(n, families.clusters(n, e))
     return f.select("family_id", "canonical_key", "node_type", "status", F.size("members").cast("long").alias("n_members"), "n_claims", "first_seen", "last_seen")
 
 
 def contracted_edges(spark, sf_dir):
     """Edges between groups of nodes with the same first key token."""
-    m = _nodes(spark, sf_dir).select("node_id", F.substring_index("canonical_key", "-", 1).alias("family_id"))
-    return graph.contract(_edges(spark, sf_dir), m).select("type", "src", "dst", "weight", F.size("segments").cast("long").alias("n_segments"))
+    _, n, e = _graph(spark, sf_dir)
+    m = n.select("node_id", F.substring_index("canonical_key", "-", 1).alias("family_id"))
+    return graph.contract(e, m).select("type", "src", "dst", "weight", F.size("segments").cast("long").alias("n_segments"))
 
 
 def reciprocal_edges(spark, sf_dir):
-    return graph.reciprocal_losers(_edges(spark, sf_dir), _nodes(spark, sf_dir))
+    _, n, e = _graph(spark, sf_dir)
+    return graph.reciprocal_losers(e, n)
 
 
 def strongest_neighbor(spark, sf_dir):
@@ -140,8 +152,8 @@ def summary_pairs(spark, sf_dir):
 
 
 def _review(spark, sf_dir):
-    n = _nodes(spark, sf_dir).withColumn("aliases", F.array("title"))
-    return families.accepts(families.review_candidates(n, _edges(spark, sf_dir), _docs(spark, sf_dir)))
+    c, n, e = _graph(spark, sf_dir)
+    return families.accepts(families.review_candidates(n.withColumn("aliases", F.array("title")), e, _docs(spark, sf_dir, c)))
 
 
 def review_candidates(spark, sf_dir):
@@ -149,19 +161,25 @@ def review_candidates(spark, sf_dir):
 
 
 def distinct_titles(spark, sf_dir):
-    n = _nodes(spark, sf_dir)
-    alias = _cands(spark, sf_dir).groupBy(F.concat(F.lit("thought:"), F.col("canonical_key")).alias("node_id")).agg(F.collect_set("claim").alias("aliases"))
+    c = _cands(spark, sf_dir)
+    n = _nodes(spark, sf_dir, c)
+    alias = c.groupBy(F.concat(F.lit("thought:"), F.col("canonical_key")).alias("node_id")).agg(F.collect_set("claim").alias("aliases"))
     return families.distinct_titles(n.join(alias, "node_id").withColumn("title", F.substring_index("title", " ", 1)))
 
 
+def _assessed(spark, sf_dir):
+    c, n, e = _graph(spark, sf_dir)
+    return salience.assess(n, _docs(spark, sf_dir, c), graph.degrees(e))
+
+
 def node_salience(spark, sf_dir):
-    a = salience.assess(_nodes(spark, sf_dir), _docs(spark, sf_dir), graph.degrees(_edges(spark, sf_dir)))
+    a = _assessed(spark, sf_dir)
     return a.select("node_id", "authority", F.size("document_ids").cast("long").alias("n_documents"), "degree", "salience")
 
 
 def representatives(spark, sf_dir):
     """360 conversation nodes, source-diverse."""
-    a = salience.assess(_nodes(spark, sf_dir), _docs(spark, sf_dir), graph.degrees(_edges(spark, sf_dir))).where("authority = 'conversation'")
+    a = _assessed(spark, sf_dir).where("authority = 'conversation'")
     return salience.representatives(a)
 
 
@@ -171,7 +189,7 @@ def _groups(spark, sf_dir):
 
 def constellations(spark, sf_dir):
     """Nodes grouped by key token, rolled up."""
-    a = salience.assess(_nodes(spark, sf_dir), _docs(spark, sf_dir), graph.degrees(_edges(spark, sf_dir)))
+    a = _assessed(spark, sf_dir)
     return salience.group_rollup(_groups(spark, sf_dir), a)
 
 
@@ -188,9 +206,10 @@ def label_propagation(spark, sf_dir):
 
 def coverage_repair(spark, sf_dir):
     """Nodes whose key is of odd length take their neighbours' majority group."""
-    n = _nodes(spark, sf_dir).withColumn("group_id", F.substring("canonical_key", 1, 1))
+    _, n, e = _graph(spark, sf_dir)
+    n = n.withColumn("group_id", F.substring("canonical_key", 1, 1))
     missing, assigned = n.where("length(canonical_key) % 2 = 1"), n.where("length(canonical_key) % 2 = 0")
-    return graph.repair_by_vote(assigned, missing, _edges(spark, sf_dir))
+    return graph.repair_by_vote(assigned, missing, e)
 
 
 def atlas_drift(spark, sf_dir):
@@ -204,8 +223,9 @@ def membership_chunks(spark, sf_dir):
 
 
 def top_groups_by_document(spark, sf_dir):
-    g = _nodes(spark, sf_dir).select("node_id", F.substring("canonical_key", 1, 1).alias("group_id"))
-    return families.strongest_per_document(g, _docs(spark, sf_dir).select("node_id", "document_id"))
+    c = _cands(spark, sf_dir)
+    g = _nodes(spark, sf_dir, c).select("node_id", F.substring("canonical_key", 1, 1).alias("group_id"))
+    return families.strongest_per_document(g, _docs(spark, sf_dir, c).select("node_id", "document_id"))
 
 
 def type_counts(spark, sf_dir):
