@@ -15,6 +15,11 @@ def _fs(spark: SparkSession, path: str):
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
 
 
+def _path():
+    """The file of a row, as it is named (Spark gives it percent-encoded)."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     fs, p = _fs(spark, path)
     return fs.exists(p)
@@ -38,7 +43,7 @@ def manifest(files: DataFrame) -> DataFrame:
 
 def read_writings(spark: SparkSession, folder: str) -> DataFrame:
     """One row per text file: path and body."""
-    return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "{*.txt,*.md}").text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body"))
+    return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "{*.txt,*.md}").text(folder, wholetext=True).select(_path().alias("path"), F.col("value").alias("body"))
 
 
 def writing_records(files: DataFrame) -> DataFrame:
@@ -57,13 +62,13 @@ def read_bundle(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     """A top-level array gives one row an element; a file that holds no array gives none."""
     texts = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(folder, wholetext=True)
     arrays = texts.where(F.col("value").rlike(r"^\s*\["))
-    return arrays.select(F.col("_metadata.file_path").alias("path"), F.explode(F.from_json("value", f"array<struct<{schema}>>")).alias("c")).select("path", "c.*")
+    return arrays.select(_path().alias("path"), F.explode(F.from_json("value", f"array<struct<{schema}>>")).alias("c")).select("path", "c.*")
 
 
 def read_transcripts(spark: SparkSession, folder: str) -> DataFrame:
     """chat_id, line_no, line of every transcript file."""
     texts = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(folder, wholetext=True)
-    name = F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"\.[^.]*$", "")
+    name = F.regexp_replace(F.element_at(F.split(_path(), "/"), -1), r"\.[^.]*$", "")
     return texts.select(F.concat(F.lit("chat:"), T.slugify(name)).alias("chat_id"), F.posexplode(F.split(F.regexp_replace("value", "\r\n", "\n"), "\n")).alias("line_no", "line"))
 
 
