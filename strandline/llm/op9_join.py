@@ -204,11 +204,12 @@ def linked(docs: DataFrame, tag: str = "join") -> DataFrame:
     spread = reps.join(groups, "key").select("key", "rep", "copies", "bands", "size", F.col("root").alias("comp"))
     # without the edges of one member to itself a component has two texts or more
     sizes = spread.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("size") / BLOCK_CHARS), F.lit(1)).cast("int").alias("k"), F.sum("size").alias("chars"))
+    sizes = cut(sizes, f"{tag}-sizes")  # a table of its own, so that a hot component's rows can be split in the join
     total = sizes.where("k = 1").agg(F.coalesce(F.sum("chars"), F.lit(0))).first()[0]
     shared = max(1, math.ceil(total / SHARED_CHARS))
     home = F.when(F.col("k") == 1, F.concat(F.lit("-"), F.pmod(F.xxhash64("comp"), F.lit(shared)).cast("string"))).otherwise(F.col("comp"))
     block = F.pmod(F.xxhash64("key", F.lit(7)), F.col("k").cast("long")).cast("int")
-    spread = cut(spread.join(sizes, "comp").select("key", "rep", "copies", "bands", home.alias("home"), block.alias("block"), "k"), f"{tag}-spread")
+    spread = cut(spread.join(light(sizes, 60), "comp").select("key", "rep", "copies", "bands", home.alias("home"), block.alias("block"), "k"), f"{tag}-spread")
     texts = keyed.select(F.col(rid).alias("rep"), F.col("text").alias("text")).join(light(spread.select("rep"), 60), "rep").join(spread, "rep").dropDuplicates(["key"])
     tiles = texts.select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other")).select("key", "copies", "bands", "text", "home", "block", F.least("block", "other").alias("ti"), F.greatest("block", "other").alias("tj"))
     checked = cut(tiles.groupBy("home", "ti", "tj").applyInPandas(tile, "key string, root string, links long"), f"{tag}-checked")
