@@ -42,8 +42,8 @@ def repeated(docs: DataFrame, tag: str = "lines") -> DataFrame:
     split = keyed.selectExpr("rid", "doc_id", "split(text, '\\n', -1) AS lines").selectExpr("rid", "doc_id", "transform(lines, x -> xxhash64(x)) AS hs", f"transform(lines, x -> regexp_count(x, '{WORD}')) AS ws")
     rows = cut(split.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.first("hs").alias("hs"), F.first("ws").alias("ws")), f"{tag}-hashes")
     flat = rows.select("rid", "doc_id", F.posexplode(F.arrays_zip("hs", "ws")).alias("pos", "x")).select("rid", "doc_id", "pos", F.col("x.hs").alias("h"), F.col("x.ws").alias("w"))
-    twice = rows.select(F.explode("hs").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    counted = flat.join(twice, "h", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    twice = cut(rows.select(F.explode("hs").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), f"{tag}-twice")
+    counted = flat.join(light(twice, 24), "h", "left").withColumn("n", F.coalesce("n", F.lit(1)))
     lines = counted.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("pos", "h", "w", "n"))).alias("l"), F.max("n").alias("most")).where("most > 1")
     found = cut(chunks(lines), f"{tag}-chunks")
     again = found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
