@@ -288,6 +288,9 @@ base.CTES |= {
 }
 _sent = "upper(substr({t}, 1, 1)) || substr({t}, 2)".format(t="trim(regexp_replace(coalesce(ls[1], ''), '\\s+', ' ', 'g'))")
 SQL = {
+    "retrieval_chunks": """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents), c AS (SELECT doc_id, sum((i % 3 = 1)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS k, i, CASE WHEN i % 3 = 1 THEN '## ' || x ELSE x END AS x FROM l),
+t AS (SELECT doc_id, k, string_agg(x, chr(10) ORDER BY i) AS text, arg_min(x, i) AS head FROM c GROUP BY doc_id, k)
+SELECT doc_id::VARCHAR AS name, k::BIGINT AS chunk_no, md5(CASE WHEN k = 0 THEN doc_id::VARCHAR ELSE regexp_replace(head, '^#+\\s*', '') END) AS title_md5, md5(text || CASE WHEN k < max(k) OVER (PARTITION BY doc_id) THEN chr(10) ELSE '' END) AS text_md5 FROM t""",
     "term_index": base.sql("SELECT term, sum(tf)::BIGINT AS total, max(tf) AS most, any_value(df) AS df FROM tf JOIN df USING (term) GROUP BY term", "tf", "df"),
     "tfidf_topk": base.sql("SELECT question_id, chunk_id, rank, score FROM ranked", "ranked"),
     "retrieval_mrr": base.sql("""SELECT count(*) AS n_questions, coalesce(round(avg((coalesce(rank, 99) <= 5)::INT), 6), 1.0) AS pass_rate, coalesce(round(avg(coalesce(1.0::DOUBLE / rank, 0)), 6), 1.0) AS mrr FROM benchmark LEFT JOIN (SELECT question_id, min(rank) AS rank FROM ranked JOIN chunk USING (chunk_id) JOIN benchmark b ON b.item_id = question_id WHERE contains(chunk.text, split_part(b.text, chr(10), 1)) GROUP BY 1) ON item_id = question_id""", "ranked"),

@@ -269,6 +269,10 @@ FROM node JOIN (SELECT node_id, count(*) AS n, count(*) FILTER (source_kind = 'w
     "grp": (("node",), "SELECT node_id, unnest(list_distinct(string_split(canonical_key, '-'))) AS group_id FROM node"),
 }
 
+_LABELS = ", ".join(f"l{k} AS (SELECT node, arg_min(label, (-w, label)) AS label FROM (SELECT node, label, round(sum(w), 6) AS w FROM (SELECT e.a AS node, l{k - 1}.label, e.w FROM ew e JOIN l{k - 1} ON e.b = l{k - 1}.node UNION ALL SELECT node, label, 1.0::DOUBLE FROM l{k - 1}) GROUP BY 1, 2) GROUP BY node)" for k in (1, 2))
+_CC = "cc(id, comp) USING KEY (id) AS (SELECT node_id, node_id FROM node UNION (SELECT n.node, min(c.comp) FROM cc c JOIN nbr n ON n.nbr = c.id JOIN recurring.cc p ON p.id = n.node WHERE c.comp < p.comp GROUP BY n.node))"
+_cc = lambda q: base.sql("\n" + q, "node", "nbr").replace("WITH ", "WITH RECURSIVE ", 1).replace("\n\n" + q, ",\n" + _CC + "\n" + q, 1)
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -313,5 +317,8 @@ JOIN (SELECT 'writing:' || doc_id AS id, list_filter(list_distinct(string_split(
     "atlas_drift": base.sql("SELECT count(*) AS n_current, count(*) FILTER (n_claims > 1) AS n_previous, count(*) FILTER (n_claims > 1) AS n_shared, round(1 - count(*) FILTER (n_claims > 1) / greatest(1, count(*))::DOUBLE, 6) AS drift FROM node", "node"),
     "membership_chunks": base.sql("SELECT node_id, p AS place, (p - 1) // 48 AS chunk_no, 'batch-' || lpad(((p - 1) // 48 + 1)::VARCHAR, 4, '0') AS chunk_id FROM (SELECT node_id, row_number() OVER (ORDER BY first_seen NULLS LAST, node_id) AS p FROM node)", "node"),
     "top_groups_by_document": base.sql("SELECT document_id, group_id, n, rank::INT AS rank FROM (SELECT document_id, group_id, n, row_number() OVER (PARTITION BY document_id ORDER BY n DESC, group_id) AS rank FROM (SELECT document_id, substr(node_id, 9, 1) AS group_id, count(DISTINCT node_id) AS n FROM ndoc GROUP BY 1, 2)) WHERE rank <= 5", "ndoc"),
+    "connected_components": _cc("SELECT id AS node_id, comp AS root, count(*) OVER (PARTITION BY comp) AS size FROM cc"),
+    "component_shape": _cc("SELECT size, count(*) AS n_components FROM (SELECT comp, count(*) AS size FROM cc GROUP BY comp) GROUP BY size"),
+    "label_propagation": base.sql("SELECT node, label FROM l2", "edge", "nbr").replace("\nSELECT node, label FROM l2", ", ew AS (SELECT src AS a, dst AS b, round(greatest(0.25::DOUBLE, log2(1 + weight) * CASE WHEN type IN ('revises', 'supersedes') THEN 1.35::DOUBLE WHEN type = 'co_occurs' THEN 0.55::DOUBLE ELSE 1.0::DOUBLE END), 6) AS w FROM edge UNION ALL SELECT dst, src, round(greatest(0.25::DOUBLE, log2(1 + weight) * CASE WHEN type IN ('revises', 'supersedes') THEN 1.35::DOUBLE WHEN type = 'co_occurs' THEN 0.55::DOUBLE ELSE 1.0::DOUBLE END), 6) FROM edge), l0 AS (SELECT DISTINCT node, split_part(substr(node, 9), '-', 1) AS label FROM nbr), " + _LABELS + "\nSELECT node, label FROM l2", 1),
     "type_counts": base.sql("SELECT node_type, count(*) FILTER (status = 'active') AS active, count(*) FILTER (status = 'tentative') AS tentative FROM node GROUP BY node_type", "node"),
 }

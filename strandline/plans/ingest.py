@@ -179,6 +179,12 @@ _batched = lambda q: base.sql("", "segments").replace("WITH ", "WITH RECURSIVE "
 _hits = lambda x, words: " + ".join(f"len(regexp_extract_all({x}, '\\b(?:{w.replace('*', '[A-Za-z0-9_]*')})\\b'))" for w in words)
 _ordtext = "string_agg(text, chr(10) || chr(10) ORDER BY sequence_index)"
 
+_NEAR = [f"{f}({{c}}, {d}) OVER w" for d in (1, 2, 3) for f in ("lag", "lead")]
+_STEPS = "t0 AS (SELECT segment_id, length(text) AS base, length(text) AS size, [sequence_index] AS places, " + ", ".join(f"{n.format(c='sequence_index')} AS s{k}, length({n.format(c='text')}) AS n{k}" for k, n in enumerate(_NEAR)) + " FROM segments WHERE source_kind <> 'chat' WINDOW w AS (PARTITION BY document_id, signal_kind, author_kind ORDER BY sequence_index))"
+for _k in range(6):
+    _take = f"base < 320 AND n{_k} IS NOT NULL AND size + n{_k} <= 700"
+    _STEPS += f", t{_k + 1} AS (SELECT * REPLACE (CASE WHEN {_take} THEN size + n{_k} ELSE size END AS size, CASE WHEN {_take} THEN list_append(places, s{_k}) ELSE places END AS places) FROM t{_k})"
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -216,6 +222,7 @@ SELECT conv_id AS conversation_id, turn AS ord, 'n' || turn AS node_id FROM conv
     "content_payloads": "SELECT 'conversation:' || conv_id AS conversation_id, turn AS ord, md5(CASE turn % 4 WHEN 2 THEN text || chr(10) || chr(10) || 'sum' WHEN 3 THEN 'title' || chr(10) || text ELSE text END) AS text_md5 FROM conversations",
     "local_context": base.sql("""SELECT segment_id, md5(b) AS before_md5, length(b)::BIGINT AS n_before, md5(a) AS after_md5, length(a)::BIGINT AS n_after FROM (SELECT segment_id, CASE WHEN length(p) <= 120 THEN p ELSE '[...]' || chr(10) || right(p, 120) END AS b, CASE WHEN length(q) <= 120 THEN q ELSE left(q, 120) || chr(10) || '[...]' END AS a
 FROM (SELECT segment_id, lag(text) OVER w AS p, lead(text) OVER w AS q FROM segments WHERE signal_kind = 'primary' WINDOW w AS (PARTITION BY document_id ORDER BY sequence_index)))""", "segments"),
+    "evidence_context": base.sql("SELECT segment_id, array_to_string(list_sort(places), ',') AS places, (size + len(places) - 1)::BIGINT AS n_evidence FROM t6", "segments").replace("\nSELECT segment_id, array_to_string(list_sort(places)", ", " + _STEPS + "\nSELECT segment_id, array_to_string(list_sort(places)", 1),
     "greedy_batches": _batched("SELECT document_id, sequence_index, tokens, batch_no FROM b"),
     "batch_density": _batched("SELECT document_id, batch_no, count(*) AS n_items, sum(tokens)::BIGINT AS tokens, count(*) FILTER (long_text) AS n_long FROM b GROUP BY document_id, batch_no"),
     "month_chronology": base.sql("SELECT coalesce(strftime(make_timestamp_ms(time_unix), '%Y-%m'), 'unknown') AS month, source_kind, count(*) AS n_segments, count(DISTINCT document_id) AS n_documents FROM segments GROUP BY 1, 2", "segments"),
