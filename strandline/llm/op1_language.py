@@ -251,7 +251,11 @@ def fit(rows: list[tuple[str, str]]) -> Tagger:
 
 def training_rows(docs: DataFrame) -> list[tuple[str, str]]:
     ids = need(docs, "doc_id", "lang").where("doc_id IS NOT NULL AND lang IS NOT NULL AND crc32(cast(cast(doc_id AS string) AS binary)) % 5 <> 0")
-    ranked = ids.select("doc_id", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")).alias("r")).where(f"r <= {PER_LANG}").select("doc_id").distinct()
+    order = (F.xxhash64("doc_id"), F.col("doc_id"))
+    few = ids.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(64)))  # first within parts, so that a frequent language is spread
+    for keys in (["lang", "part"], ["lang"]):
+        few = few.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(f"r <= {PER_LANG}")
+    ranked = few.select("doc_id").distinct()
     rows = need(docs, "doc_id", "lang", "text").where(f"lang IS NOT NULL AND text IS NOT NULL AND length(text) <= {MAX_CHARS}").join(ranked, "doc_id")
     return [(r["text"], r["lang"]) for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id", "lang", F.xxhash64("text")).collect()]
 
