@@ -280,6 +280,8 @@ base.CTES |= {
     "fanc": (("ftok",), "SELECT frame_id, list(t ORDER BY r) AS anchors FROM (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY n DESC, t) AS r FROM ftok) WHERE r <= 5 GROUP BY frame_id"),
     "flab": (("fm", "fanc"), f"SELECT frame_id, document_id, {base.words_sql('label', 3, ASTOP)} AS lt, anchors, n FROM (SELECT frame_id, document_id, arg_min(claim, (seq, ord)) AS label, count(DISTINCT node_id) AS n FROM fm GROUP BY 1, 2) LEFT JOIN fanc USING (frame_id)"),
     "fmem": (("fm", "fsup"), "SELECT DISTINCT fm.frame_id, fm.node_id, fsup.node_id IS NOT NULL AS anchor FROM fm LEFT JOIN fsup ON fm.frame_id = fsup.frame_id AND fm.node_id = fsup.node_id"),
+    "fpair": (("fmem", "flab"), f"""SELECT a, b, shared FROM (SELECT x.frame_id AS a, y.frame_id AS b, count(*) AS shared, count(*) FILTER (x.anchor AND y.anchor) AS anc FROM fmem x JOIN fmem y ON x.node_id = y.node_id AND x.frame_id < y.frame_id GROUP BY 1, 2) p JOIN flab f ON f.frame_id = a JOIN flab g ON g.frame_id = b
+WHERE f.document_id <> g.document_id AND shared / least(f.n, g.n)::DOUBLE >= 0.5 AND ((anc >= 1 AND {base.jaccard_sql('f.anchors', 'g.anchors')} >= 0.14) OR (shared >= 2 AND {base.jaccard_sql('f.lt', 'g.lt')} >= 0.16))"""),
     "snow": (("segments",), "SELECT segment_id, document_id, sequence_index, text FROM segments WHERE source_kind = 'writing'"),
     "sold": (("snow",), "SELECT segment_id, document_id, sequence_index, CASE WHEN sequence_index % 11 = 0 THEN text || ' old' ELSE text END AS text FROM snow WHERE sequence_index % 7 <> 0"),
     "inow": (("snow",), "SELECT *, sha256('v1|' || text_hash || '|' || context_hash) AS cache_key FROM (SELECT segment_id, document_id, sha256(text) AS text_hash, sha256(coalesce(lag(text) OVER w, '') || chr(31) || coalesce(lead(text) OVER w, '')) AS context_hash FROM snow WINDOW w AS (PARTITION BY document_id ORDER BY sequence_index))"),
@@ -305,8 +307,11 @@ SELECT doc_id::VARCHAR AS name, k::BIGINT AS chunk_no, md5(CASE WHEN k = 0 THEN
     "suppressed_frames": base.sql("SELECT document_id, frame_idx FROM (SELECT document_id, frame_idx, count(*) AS subs, count(*) FILTER (k = 1) AS single, sum(k) AS n FROM (SELECT document_id, frame_idx, pos % 4 AS s, count(DISTINCT pos) AS k FROM listed GROUP BY 1, 2, 3) GROUP BY 1, 2) WHERE n >= 3 AND subs >= 2 AND single / subs::DOUBLE >= 0.67", "listed"),
     "anchor_tokens": f"SELECT document_id, string_agg(t, ' ' ORDER BY r) AS anchors FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY n DESC, t) AS r FROM (SELECT document_id, t, count(*) AS n FROM (SELECT 'writing:' || doc_id AS document_id, unnest({base.words_sql('text', 3, ASTOP)}) AS t FROM documents) GROUP BY 1, 2)) WHERE r <= 5 GROUP BY document_id",
     "frame_anchors": base.sql("SELECT * FROM fsup", "fsup"),
-    "frame_pairs": base.sql(f"""SELECT a, b, shared FROM (SELECT x.frame_id AS a, y.frame_id AS b, count(*) AS shared, count(*) FILTER (x.anchor AND y.anchor) AS anc FROM fmem x JOIN fmem y ON x.node_id = y.node_id AND x.frame_id < y.frame_id GROUP BY 1, 2) p JOIN flab f ON f.frame_id = a JOIN flab g ON g.frame_id = b
-WHERE f.document_id <> g.document_id AND shared / least(f.n, g.n)::DOUBLE >= 0.5 AND ((anc >= 1 AND {base.jaccard_sql('f.anchors', 'g.anchors')} >= 0.14) OR (shared >= 2 AND {base.jaccard_sql('f.lt', 'g.lt')} >= 0.16))""", "fmem", "flab"),
+    "frame_families": base.sql("\nSELECT 1", "fpair").replace("WITH ", "WITH RECURSIVE ", 1).replace("\n\nSELECT 1", """,
+fe AS (SELECT a, b FROM fpair UNION SELECT b, a FROM fpair), cc(id, comp) USING KEY (id) AS (SELECT DISTINCT a, a FROM fe UNION (SELECT e.a, min(c.comp) FROM cc c JOIN fe e ON e.b = c.id JOIN recurring.cc p ON p.id = e.a WHERE c.comp < p.comp GROUP BY e.a)),
+coh AS (SELECT comp, sum(2 * shared)::BIGINT AS cohesion FROM fpair JOIN cc ON fpair.a = cc.id GROUP BY comp)
+SELECT id AS frame_id, cc.comp AS family, count(*) OVER (PARTITION BY cc.comp) AS size, coalesce(cohesion, 0) AS cohesion FROM cc LEFT JOIN coh ON cc.comp = coh.comp""", 1),
+    "frame_pairs": base.sql("SELECT a, b, shared FROM fpair", "fpair"),
     "segment_diff": base.sql("SELECT coalesce(n.segment_id, o.segment_id) AS segment_id, CASE WHEN o.segment_id IS NULL THEN 'added' WHEN n.segment_id IS NULL THEN 'removed' WHEN o.text_hash = n.text_hash THEN 'unchanged' ELSE 'changed' END AS change FROM inow n FULL JOIN iold o ON n.segment_id = o.segment_id", "inow", "iold"),
     "segment_hashes": base.sql("SELECT * FROM inow", "inow"),
     "pending_items": base.sql("SELECT segment_id, cache_key FROM inow WHERE cache_key NOT IN (SELECT cache_key FROM iold)", "inow", "iold"),

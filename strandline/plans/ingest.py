@@ -185,6 +185,24 @@ for _k in range(6):
     _take = f"base < 320 AND n{_k} IS NOT NULL AND size + n{_k} <= 700"
     _STEPS += f", t{_k + 1} AS (SELECT * REPLACE (CASE WHEN {_take} THEN size + n{_k} ELSE size END AS size, CASE WHEN {_take} THEN list_append(places, s{_k}) ELSE places END AS places) FROM t{_k})"
 
+_ws = lambda x: f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+_tidy = lambda x: _ws(f"regexp_replace(regexp_replace({x}, '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')")
+_has = lambda x, ps: "regexp_matches(" + x + ", '(?i)" + "|".join(f"(?:{p})" for p in ps) + "')"
+_many = lambda x, ps: "(" + " + ".join(f"regexp_matches({x}, '(?i){p}')::INT" for p in ps) + ")"
+_n = lambda x, p: f"len(regexp_extract_all({x}, '{p}'))"
+SANITIZE = rf"""WITH raw AS (SELECT 'conversation:' || conv_id || ':' || turn AS id, role, text FROM conversations UNION ALL SELECT 'doc:' || doc_id, 'user', ['', 'Tady to je text: ', 'file contents' || chr(10) || chr(10), 'Toto je vynatek z knihy' || chr(10), 'do anything now '][doc_id % 5 + 1] || text FROM documents),
+a AS (SELECT id, role, {_ws("replace(replace(text, chr(13) || chr(10), chr(10)), chr(12), chr(10))")} AS t FROM raw),
+b AS (SELECT *, substr(t, 1, 1600) AS h, substr(t, 1, 320) AS h3, list_filter(list_transform(string_split(t, chr(10)), lambda x: {_ws('x')}), lambda x: x <> '') AS ls, strpos(t, chr(10) || chr(10)) - 1 AS para, strpos(t, chr(10)) - 1 AS line FROM a),
+c AS (SELECT *, length(regexp_extract(h3, '(?s)^(.*[.?!:]) ', 1)) - 1 AS stop, CASE WHEN len(ls) = 0 THEN 0 ELSE len(list_filter(ls, lambda x: length(x) <= 80)) / len(ls)::DOUBLE END AS sh, {_tidy("regexp_extract(t, '(?is)^(.*?)" + C.BODY_MARKER + "', 1)")} AS bm FROM b),
+d AS (SELECT *, CASE WHEN t = '' THEN '' WHEN para > 0 AND para <= 640 THEN {_tidy('substr(t, 1, para)')} WHEN line > 0 AND line <= 320 THEN {_tidy('substr(t, 1, line)')} WHEN stop >= 40 THEN {_tidy('substr(h3, 1, stop + 1)')} ELSE {_tidy('h3')} END AS intro,
+  length(t) >= 40000 AND {_many('h', C.ACADEMIC)} >= 2 AS acad FROM c),
+e AS (SELECT *, CASE WHEN role <> 'user' THEN 'keep' WHEN t = '' THEN 'empty_user_turn' WHEN length(t) < 4000 THEN 'keep' WHEN {_has('h', C.PROMPTS)} THEN 'prompt_dump' WHEN {_has('h', C.EXPLICIT)} THEN 'explicit_pasted_document' WHEN {_has('h', C.TRANSPORT)} AND {_has('h', C.OBJECTS)} THEN 'transport_preface_plus_document_dump'
+  WHEN bm <> '' THEN 'intro_before_external_body' WHEN {_has('h', C.INTRO)} THEN 'intro_plus_external_excerpt'
+  WHEN length(t) >= 8000 AND len(ls) >= 120 AND sh >= 0.45 AND ({_n('t', r'(?i)https?://')} >= 2 OR {_n('t', r'(?m)^\s*[-*•]')} >= 6 OR {_n('t', r'(?m):\s*$')} >= 6) AND {_many('h', C.OBJECTS)} >= 2 THEN 'structured_document_dump' WHEN acad THEN 'academic_abstract_dump'
+  WHEN length(t) >= 8000 AND (regexp_matches(substr(t, 1, 160), '^\s*\d+(?:[.-]\d+)+(?:\s+|$)') OR regexp_matches(substr(t, 1, 160), '^\s*\d+\.\s*[A-ZÁČĎÉĚÍŇÓŘŠŤÚŮÝŽ]') OR regexp_matches(substr(t, 1, 160), '(?i)^\s*[IVXLC]+\.\s+')) AND (acad OR {_n('t', r'(?i)[a-záčďéěíňóřšťúůýž]{2,}-\n[a-záčďéěíňóřšťúůýž]{2,}')} >= 2 OR sh >= 0.35) THEN 'chapter_or_ocr_excerpt_dump' ELSE 'keep' END AS r FROM d),
+f AS (SELECT id, r, CASE WHEN r = 'keep' THEN t WHEN r = 'intro_before_external_body' THEN bm WHEN r IN ('explicit_pasted_document', 'transport_preface_plus_document_dump', 'intro_plus_external_excerpt') THEN intro ELSE '' END AS clean FROM e)
+SELECT id, CASE WHEN r = 'keep' THEN 'keep' WHEN clean = '' THEN 'drop' ELSE 'trim' END AS action, CASE WHEN r <> 'keep' THEN r END AS reason, length(clean)::BIGINT AS n_clean, md5(clean) AS clean_md5 FROM f"""
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -209,6 +227,7 @@ array_to_string(list_sort(list_slice({base.words_sql('t', 3, STOP)}, 1, 4)), '-'
     "chat_rollup": f"WITH {TRANSCRIPT} SELECT chat_id, coalesce(array_to_string(list_sort(list(DISTINCT author) FILTER (role <> 'system')), '|'), '') AS participants, arg_min(ord, (time_unix, ord)) AS first_ord, arg_max(ord, (time_unix, ord)) AS last_ord, count(*) AS n_messages, count(*) FILTER (role = 'owner') AS n_owner, count(*) FILTER (role = 'other') AS n_other, count(*) FILTER (role = 'system') AS n_system FROM tm GROUP BY chat_id",
     "chat_focus": base.sql("", "msgs").rstrip() + ", items AS (SELECT chat_id AS g, ord - 1 AS ord, role = 'owner' AS focus, role = 'other' AS ctx FROM msgs)" + FOCUS % "chat_id",
     "focus_timeline": "WITH items AS (SELECT 'conversation:' || conv_id AS g, turn AS ord, role = 'user' AS focus, role = 'assistant' AS ctx FROM conversations)" + FOCUS % "conversation_id",
+    "turn_sanitize": SANITIZE,
     "conversation_gate": f"""WITH c AS (SELECT conv_id, count(*) AS n, coalesce(bool_or(role <> 'system' AND contains(text, '```')), false) AS f FROM conversations GROUP BY conv_id)
 SELECT 'conversation:' || conv_id AS conversation_id, n AS n_turns, f AS has_fence, n > {MIN_TURNS} AND NOT f AS include, CASE WHEN n <= {MIN_TURNS} THEN 'excluded_null_gizmo_short' WHEN f THEN 'excluded_null_gizmo_code' ELSE 'null_gizmo_long_non_code' END AS reason FROM c""",
     "work_classify": f"""WITH u AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations WHERE role = 'user'), b AS (SELECT conv_id, substr(string_agg(text, chr(10) || chr(10) ORDER BY turn), 1, 8000) AS body FROM u WHERE r <= 6 GROUP BY conv_id),
