@@ -54,7 +54,7 @@ def repeated(docs: DataFrame, tag: str = "lines") -> DataFrame:
     bodies = texts.selectExpr("rid", "doc_id", "size(lines) AS n_lines", body)
     bodies = cut(bodies.select("rid", "doc_id", "n_lines", "c.*"), f"{tag}-bodies")
     place = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("rid").alias("r"), F.col("s").alias("p"))
-    firsts = bodies.groupBy("key", "body").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "body", "first")
+    firsts = cut(bodies.groupBy("key", "body").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "body", "first"), f"{tag}-firsts")
     gone = bodies.join(firsts, ["key", "body"]).where((F.col("rid") != F.col("first.r")) | (F.col("s") != F.col("first.p")))
     whole = F.max_by(F.struct("s", "e", "words"), F.col("e") - F.col("s"))
     sums = gone.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("parts"), F.first("n_lines").alias("n_lines"), F.sum(F.col("e") - F.col("s")).alias("ls"), F.sum("words").alias("ws"), whole.alias("w"))
