@@ -15,7 +15,10 @@ from ..operators import corpus
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver's table; one that comes as fewer splits than there are cores (a single small file) is dealt over them before its texts are worked on."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() * 2 <= cores else df
 
 
 def writings(spark, sf_dir) -> DataFrame:

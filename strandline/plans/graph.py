@@ -11,13 +11,19 @@ from . import base
 from .storage import cut
 
 
-def _cands(spark, sf_dir):
-    return cut(resolve.candidates(base.segments(spark, sf_dir).where("signal_kind = 'primary' AND source_kind <> 'chat'")), "candidates")
+def _segments(spark, sf_dir):
+    return cut(base.segments(spark, sf_dir), "segments")
+
+
+def _cands(spark, sf_dir, segments=None):
+    segments = segments if segments is not None else base.segments(spark, sf_dir)
+    return cut(resolve.candidates(segments.where("signal_kind = 'primary' AND source_kind <> 'chat'")), "candidates")
 
 
 def _claims(spark, sf_dir, cands=None):
-    timeline = corpus.timeline(base.segments(spark, sf_dir).drop("text"))
-    return cut(resolve.claims(cands if cands is not None else _cands(spark, sf_dir), timeline), "claims")
+    segments = _segments(spark, sf_dir)
+    timeline = corpus.timeline(segments.drop("text"))
+    return cut(resolve.claims(cands if cands is not None else _cands(spark, sf_dir, segments), timeline), "claims")
 
 
 def _nodes(spark, sf_dir, cands=None):
