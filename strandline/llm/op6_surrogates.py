@@ -1,6 +1,6 @@
 """Personal data replaced by keyed surrogates of the same type, gender, script and format, in SQL functions alone.
 
-One pattern finds e-mail addresses, IPv4 addresses, IBANs, social security numbers, payment cards, phone numbers, hexadecimal secrets and
+One pattern finds e-mail addresses, IPv4 addresses, IBANs, social security numbers, payment cards, phone numbers, hexadecimal secrets, access keys, values assigned to a password or the like, and
 names (a title or a known given name before capitalised words). Each find becomes units: a name's words (given names with a gender, and
 surnames) or the whole find. Units are compared in a canonical form (lower case; digits alone for numbers), so the same person, number or
 address written differently is one entity everywhere, and a surname is the same with or without the given name.
@@ -43,7 +43,10 @@ LETTERS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежз
 _title = "|".join(t for ts in TITLES.values() for t in ts)
 _given = "|".join(g for gs in GIVEN.values() for g in gs)
 CAP = "\\p{Lu}\\p{L}+"
+LABEL = "(?i:password|passwd|pwd|secret|api[_-]?key|token)[=:]"
 KINDS = {
+    "assigned": f"{LABEL}[A-Za-z0-9_+/-]{{6,}}",
+    "access": "(?<![0-9A-Za-z])(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])",
     "email": "[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{2,}",
     "ip": "(?<![\\d.])(?:\\d{1,3}\\.){3}\\d{1,3}(?![\\d]|\\.\\d)",
     "iban": "\\b[A-Z]{2}\\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\\b",
@@ -53,8 +56,8 @@ KINDS = {
     "secret": "(?<![0-9A-Za-z])(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})(?![0-9A-Za-z])",
     "name": f"(?<!\\p{{L}})(?:(?:{_title})\\.? {CAP}(?: {CAP})?|(?:{_given}) {CAP})",
 }
-PATTERN = "|".join(f"(?:{KINDS[k]})" for k in ("email", "secret", "ip", "iban", "ssn", "card", "phone", "name"))
-HINT = f"[0-9@]|(?<!\\p{{L}})(?:{_title}|{_given})\\.? \\p{{Lu}}"
+PATTERN = "|".join(f"(?:{KINDS[k]})" for k in ("assigned", "access", "email", "secret", "ip", "iban", "ssn", "card", "phone", "name"))
+HINT = f"[0-9@]|{LABEL}|(?<!\\p{{L}})(?:{_title}|{_given})\\.? \\p{{Lu}}"
 
 
 def _sql(text: str) -> str:
@@ -66,15 +69,15 @@ def _array(words: str) -> str:
 
 
 def units(found: DataFrame) -> DataFrame:
-    """``found``: rid, pos, hit -> rid, pos, u (place in the hit), part, kind (null: kept as it is), canon."""
-    kind = "CASE " + " ".join(f"WHEN regexp_like(hit, {_sql('^(?:' + KINDS[k] + ')$')}) THEN '{k}'" for k in ("email", "secret", "ip", "iban", "ssn", "card", "phone")) + " ELSE 'name' END"
-    rows = found.selectExpr("rid", "pos", "hit", f"{kind} AS kind0").selectExpr("*", "IF(kind0 = 'name', split(hit, ' '), array(hit)) AS parts")
+    """``found``: rid, pos, hit -> rid, pos, u (place in the hit), part, gap (what joins parts), kind (null: kept as it is), canon."""
+    kind = "CASE " + " ".join(f"WHEN regexp_like(hit, {_sql('^(?:' + KINDS[k] + ')$')}) THEN '{k}'" for k in ("assigned", "access", "email", "secret", "ip", "iban", "ssn", "card", "phone")) + " ELSE 'name' END"
+    rows = found.selectExpr("rid", "pos", "hit", f"{kind} AS kind0").selectExpr("*", f"CASE kind0 WHEN 'name' THEN split(hit, ' ') WHEN 'assigned' THEN array(regexp_extract(hit, {_sql('^' + LABEL)}, 0), regexp_replace(hit, {_sql('^' + LABEL)}, '')) ELSE array(hit) END AS parts")
     titled = f"regexp_like(parts[0], {_sql('^(?:' + _title + r')\.?$')})"
     told = "CASE " + " ".join(f"WHEN regexp_like(parts[0], {_sql('^(?:' + '|'.join(TITLES[g]) + r')\.?$')}) THEN '{g}'" for g in TITLES) + " END"
     rows = rows.selectExpr("*", f"{titled} AS titled", f"{told} AS told").selectExpr("*", "posexplode(parts) AS (u, part)")
     known = "CASE " + " ".join(f"WHEN part IN ({', '.join(_sql(n) for n in GIVEN[g])}) THEN '{g}'" for g in GIVEN) + " END"
     of_name = f"CASE WHEN u = 0 AND titled THEN NULL WHEN u < size(parts) - 1 THEN concat('given:', coalesce({known}, told, 'n')) ELSE 'surname' END"
-    rows = rows.selectExpr("rid", "pos", "u", "part", f"IF(kind0 = 'name', {of_name}, kind0) AS kind")
+    rows = rows.selectExpr("rid", "pos", "u", "part", "IF(kind0 = 'name', ' ', '') AS gap", f"CASE WHEN kind0 = 'name' THEN {of_name} WHEN kind0 = 'assigned' AND u = 0 THEN NULL ELSE kind0 END AS kind")
     return rows.selectExpr("*", "CASE WHEN kind IN ('phone', 'card', 'ssn') THEN regexp_replace(part, '[^0-9]', '') WHEN kind = 'iban' THEN lower(replace(part, ' ', '')) ELSE lower(part) END AS canon")
 
 
@@ -104,7 +107,7 @@ def drawn(entities: DataFrame) -> DataFrame:
     df = entities.selectExpr("*", f"{script} AS script").selectExpr("*", f"{sylls} AS sylls", f"{endings} AS endings")
     syllables = "array_join(transform(sequence(1, 2 + int(kind = 'surname') + round div 4), i -> " + pick("sylls", "i") + "), '')"
     name = f"concat({syllables}, {pick('endings', '0')})"
-    raw = f"CASE WHEN kind = 'email' THEN {email} WHEN kind = 'ip' THEN array_join({octet}, '.') WHEN kind = 'secret' THEN {hexa} WHEN kind IN ('phone', 'card', 'ssn') THEN {numbers} WHEN kind = 'iban' THEN concat(substr(canon, 1, 2), substr({spell('1', 'length(canon)', any_digit)}, 3)) ELSE {name} END"
+    raw = f"CASE WHEN kind = 'email' THEN {email} WHEN kind = 'ip' THEN array_join({octet}, '.') WHEN kind = 'secret' OR kind = 'assigned' AND regexp_like(canon, '^[0-9a-f]+$') THEN {hexa} WHEN kind = 'assigned' THEN {spell('1', 'length(canon)', any_digit)} WHEN kind = 'access' THEN concat(substr(canon, 1, 4), substr({spell('1', 'length(canon)', any_digit)}, 5)) WHEN kind IN ('phone', 'card', 'ssn') THEN {numbers} WHEN kind = 'iban' THEN concat(substr(canon, 1, 2), substr({spell('1', 'length(canon)', any_digit)}, 3)) ELSE {name} END"
     df = df.selectExpr("*", f"{raw} AS raw")
     base = "concat(substr(raw, 1, length(raw) - 1), '0')"
     fixed = f"concat(substr(raw, 1, length(raw) - 1), cast(({luhn('canon')} - {luhn(base)} + 10) % 10 AS string))"
@@ -138,7 +141,7 @@ def _dressed(part: str, kind: str, sur: str) -> str:
     spaced = f"aggregate({chars}, struct('' AS out, 1 AS k), (a, c) -> IF(c = ' ', struct(concat(a.out, c) AS out, a.k AS k), struct(concat(a.out, upper(substr({sur}, a.k, 1))) AS out, a.k + 1 AS k)), a -> a.out)"
     cased = f"array_join(transform({chars}, (c, i) -> IF(c <> lower(c), upper(substr({sur}, i + 1, 1)), substr({sur}, i + 1, 1))), '')"
     named = f"IF({part} = upper({part}), upper({sur}), initcap({sur}))"
-    return f"CASE WHEN {kind} IS NULL THEN {part} WHEN {kind} IN ('phone', 'card', 'ssn') THEN {digits} WHEN {kind} = 'iban' THEN {spaced} WHEN {kind} IN ('email', 'secret', 'ip') THEN IF({kind} = 'ip', {sur}, {cased}) ELSE {named} END"
+    return f"CASE WHEN {kind} IS NULL THEN {part} WHEN {kind} IN ('phone', 'card', 'ssn') THEN {digits} WHEN {kind} = 'iban' THEN {spaced} WHEN {kind} IN ('email', 'secret', 'ip', 'assigned', 'access') THEN IF({kind} = 'ip', {sur}, {cased}) ELSE {named} END"
 
 
 def pseudonymize(docs: DataFrame, key: str = KEY, tag: str = "pii") -> DataFrame:
@@ -150,8 +153,8 @@ def pseudonymize(docs: DataFrame, key: str = KEY, tag: str = "pii") -> DataFrame
     found = hits.select("rid", F.posexplode("hits").alias("pos", "hit")).distinct()
     parts = cut(units(found), f"{tag}-units")
     table = cut(surrogates(parts, key, tag), f"{tag}-table")
-    joined = parts.join(table, ["kind", "canon"], "left").selectExpr("rid", "pos", "u", _dressed("part", "kind", "surrogate") + " AS new")
-    whole = joined.groupBy("rid", "pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("u", "new"))), lambda x: x["new"]), " ").alias("new"))
+    joined = parts.join(table, ["kind", "canon"], "left").selectExpr("rid", "pos", "u", "gap", _dressed("part", "kind", "surrogate") + " AS new")
+    whole = joined.groupBy("rid", "pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("u", "gap", "new"))), lambda x: F.when(x["u"] == 0, x["new"]).otherwise(F.concat(x["gap"], x["new"]))), "").alias("new"))
     swaps = whole.groupBy("rid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "new"))), lambda x: x["new"]).alias("news"))
     between = f"split(text, {_sql(PATTERN)}, -1)"
     text = f"IF(news IS NULL, text, array_join(zip_with({between}, news, (a, b) -> concat(a, coalesce(b, ''))), ''))"
