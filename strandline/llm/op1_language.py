@@ -132,6 +132,8 @@ class Tagger:
         for k, t in enumerate(texts):
             before = len(words)
             found = TOKEN.findall(t.lower()) if t else []
+            if not any(c.isalpha() for w in found for c in w):
+                found = []
             line = []
             breaks.append(before)
             if "\n" in found:
