@@ -15,7 +15,7 @@ def connected(edges: DataFrame, tag: str) -> DataFrame:
     labels are pre-aggregated before the shuffle. Null ends are left out.
     """
     both = edges.where("a IS NOT NULL AND b IS NOT NULL").select("a", "b")
-    both = cut(both.union(both.select("b", "a")).distinct(), f"{tag}-edges")
+    both = cut(both.selectExpr("inline(array(struct(a, b), struct(b AS a, a AS b)))").distinct(), f"{tag}-edges")
     labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), f"{tag}-0")
     step = 0
     while True:
