@@ -30,12 +30,12 @@ SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\r\x0b\x0c"
 MIN_WORDS, MAX_REPEAT_SHARE, GRAM = 10, 20, 5
 MIN_GROUP, FENCE = 50, 3
-#: metric -> (its SQL over the counts, slack of its upper limit). Shares are per thousand.
+#: metric -> (its SQL over the counts, slack of its upper limit). Shares are per thousand. repeat_share's slack is below the base rule's 200, else it could reject nothing.
 METRICS = {
-    "symbol_share": ("n_symbols * 1000 div greatest(word_chars, 1)", 120),
+    "symbol_share": ("n_symbols * 1000 div greatest(word_chars, 1)", 40),
     "shout_share": ("n_shouts * 1000 div greatest(word_chars, 1)", 120),
     "caps_share": ("n_caps * 1000 div greatest(word_chars, 1)", 250),
-    "repeat_share": ("n_repeat_words * 1000 div greatest(n_words, 1)", 200),
+    "repeat_share": ("n_repeat_words * 1000 div greatest(n_words, 1)", 150),
     "dup_line_share": ("n_dup_lines * 1000 div greatest(n_lines, 1)", 400),
     "word_length": ("word_chars * 100 div greatest(n_words, 1)", 300),
 }

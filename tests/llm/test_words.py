@@ -173,6 +173,17 @@ def test_limits_follow_the_group(spark):
     assert got[0] and got[100] and not got[500]
 
 
+def test_limits_act_below_the_base_rule(spark):
+    """A tenth of symbols, or 16 to 19 % repeated words, is too much where the group has none."""
+    plain = " ".join(f"word{k}" for k in range(60))
+    symbols = " ".join(f"word{k}" + "#" * (k % 5 < 3) for k in range(60))
+    repeats = " ".join(f"word{k}" for k in [*range(50), *range(5)])
+    rows = [(k, plain, "en", "a", 0) for k in range(80)] + [(500, symbols, "en", "a", 0), (501, repeats, "en", "a", 0)]
+    got = {r["doc_id"]: r for r in op3_quality.score_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()}
+    assert 90 <= got[500]["n_symbols"] * 1000 // got[500]["word_chars"] <= 120 and 100 * got[501]["n_repeat_words"] < 20 * got[501]["n_words"]
+    assert got[0]["kept"] and not any(got[k]["kept"] or got[k]["base_failed"] for k in (500, 501))
+
+
 def test_url_rules(spark):
     r = random.Random(4)
     hosts = ["com", "example.com", "a.example.com", "examplecom", "x.net", "example.net", "b.example.net", "q.org", "EXAMPLE.com", "", "com.evil.io"]
