@@ -7,6 +7,9 @@
    A text of several chunks is a further chunk as a whole, so that a copy goes as one.
 3. Chunks that consist of repeated lines and have two lines and ``MIN_WORDS`` words, or ``LONG_WORDS`` words, are counted by hash; the text of
    those found twice is compared byte for byte (grouped by the text itself).
+   Boundaries may part a repeated passage otherwise in one copy than in another. So the shortest windows of repeated lines with ``LONG_WORDS``
+   words from each line on, and up to each line, are counted too; later ones that the chunks leave in part are compared with their first
+   occurrence like chunks. Together they cover every passage of two lines and ``LONG_WORDS`` words that occurs twice.
 4. The occurrence with the smallest (doc_id, place) stays; the others' lines go. Everything else of a text stays as it was.
 
 Null texts have no line and stay null. Null doc_ids come after all others. Repeated rows (same doc_id and text) are one document with
@@ -17,10 +20,15 @@ texts while its counted rows stay within a bound, and beyond it the texts are sh
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, light, need, row_key
+from .common import cut, fresh, light, need, row_key, small_batches
 
 WINDOW, DIVISOR, LONG_WORDS, MIN_WORDS = 2, 8, 50, 20
 WORD = "[^\\\\x20\\\\x09-\\\\x0D]+"
@@ -36,8 +44,40 @@ def chunks(lines: DataFrame) -> DataFrame:
     return whole.where(f"n > 1 AND (words >= {LONG_WORDS} OR (e - s >= 2 AND words >= {MIN_WORDS}))").drop("n")
 
 
-def repeated(docs: DataFrame, tag: str = "lines") -> DataFrame:
-    """rid, removed (sorted array of line ranges s, e), n_lines, removed_lines, removed_words, for documents that lose a chunk."""
+def shortest(words: np.ndarray, once: np.ndarray) -> list[tuple[int, int]]:
+    """Line ranges of two lines or more, none of them found ``once``, that reach ``LONG_WORDS`` words with no line to spare at their end or start."""
+    upto, ones, at = np.append(0, np.cumsum(words)), np.append(0, np.cumsum(once)), np.arange(len(words))
+    s = np.concatenate([at, np.searchsorted(upto, upto[1:] - LONG_WORDS, "right") - 1])
+    e = np.concatenate([np.searchsorted(upto, upto[:-1] + LONG_WORDS), at + 1])
+    fits = (s >= 0) & (e < len(upto)) & (e - s > 1)
+    s, e = s[fits], e[fits]
+    fits = ones[s] == ones[e]
+    return sorted(set(zip(s[fits].tolist(), e[fits].tolist(), strict=True)))
+
+
+def windows(lines: DataFrame, later: DataFrame) -> DataFrame:
+    """The shortest windows of ``lines`` as rid, doc_id, s, e, key, open (a line of it is in none of the document's ranges in ``later``: rid, gone)."""
+    small_batches(lines.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for rid, doc_id, h, w, n, ss, es in zip(b["rid"], b["doc_id"], b["h"], b["w"], b["n"], b["ss"], b["es"], strict=True):
+                h, left = np.asarray(h, np.int64), np.ones(len(h), np.int64)
+                for s, e in zip(ss, es, strict=True) if ss is not None else ():
+                    left[s:e] = 0
+                left = np.append(0, np.cumsum(left))
+                out += [(rid, doc_id, s, e, hashlib.blake2b(h[s:e].tobytes(), digest_size=16).hexdigest(), bool(left[e] > left[s])) for s, e in shortest(np.asarray(w, np.int64), np.asarray(n) < 2)]
+            yield pd.DataFrame({c: pd.Series([x[k] for x in out], dtype=t) for k, (c, t) in enumerate({"rid": object, "doc_id": object, "s": "int32", "e": "int32", "key": object, "open": bool}.items())})
+
+    # later copies of whole texts go anyway, and hold no first occurrence
+    rest = lines.join(later, "rid", "left").where("NOT coalesce(exists(gone, x -> x.s = 0 AND x.e = size(l)), false)")
+    flat = rest.selectExpr("rid", "doc_id", "l.h AS h", "l.w AS w", "l.n AS n", "gone.s AS ss", "gone.e AS es")
+    return flat.mapInPandas(run, f"rid string, doc_id {lines.schema['doc_id'].dataType.simpleString()}, s int, e int, key string, open boolean")
+
+
+def repeated(docs: DataFrame, tag: str = "lines", passages: bool = False) -> DataFrame:
+    """rid, removed (sorted array of line ranges s, e), n_lines, removed_lines, removed_words, for documents that lose a chunk or, if ``passages``, a window."""
     keyed = need(docs, "doc_id", "text").where("text IS NOT NULL").withColumn("rid", row_key(F.col("doc_id"), F.col("text")))
     split = keyed.selectExpr("rid", "doc_id", "split(text, '\\n', -1) AS lines").selectExpr("rid", "doc_id", "transform(lines, x -> xxhash64(x)) AS hs", f"transform(lines, x -> regexp_count(x, '{WORD}')) AS ws")
     rows = cut(split.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.first("hs").alias("hs"), F.first("ws").alias("ws")), f"{tag}-hashes")
@@ -45,29 +85,38 @@ def repeated(docs: DataFrame, tag: str = "lines") -> DataFrame:
     twice = cut(rows.select(F.explode("hs").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), f"{tag}-twice")
     counted = flat.join(light(twice, 24), "h", "left").withColumn("n", F.coalesce("n", F.lit(1)))
     lines = counted.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("pos", "h", "w", "n"))).alias("l"), F.max("n").alias("most")).where("most > 1")
+    lines = cut(lines, f"{tag}-counted")
     found = cut(chunks(lines), f"{tag}-chunks")
     again = found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    both = found.join(again, "key")
-    per_doc = cut(both.groupBy("rid").agg(F.collect_list(F.struct("s", "e", "words", "key")).alias("cs")), f"{tag}-candidates")
+    both = cut(found.join(again, "key"), f"{tag}-again")
+    place = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("rid").alias("r"), F.col("s").alias("p"))
+    second = (F.col("rid") != F.col("first.r")) | (F.col("s") >= F.col("first.p") + F.col("e") - F.col("s"))
+    spans = both.select("rid", "s", "e", F.col("key").cast("string").alias("key"))
+    if passages:
+        later = both.join(both.groupBy("key").agg(F.min(place).alias("first")), "key").where(second).groupBy("rid").agg(F.collect_list(F.struct("s", "e")).alias("gone"))
+        short = cut(windows(lines, later), f"{tag}-windows")
+        missed = cut(short.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.bool_or("open").alias("some")).where("n > 1 AND some").select("key", "first"), f"{tag}-missed")
+        more = short.join(light(missed, 120), "key").where((F.col("open") & second) | ((F.col("rid") == F.col("first.r")) & (F.col("s") == F.col("first.p"))))
+        spans = spans.unionByName(more.select("rid", "s", "e", "key"))
+    per_doc = cut(spans.groupBy("rid").agg(F.collect_list(F.struct("s", "e", "key")).alias("cs")), f"{tag}-candidates")
     texts = keyed.join(light(per_doc.select("rid"), 60), "rid").join(per_doc, "rid").dropDuplicates(["rid"]).selectExpr("rid", "doc_id", "cs", "split(text, '\\n', -1) AS lines")
-    body = "explode(transform(cs, c -> struct(c.s AS s, c.e AS e, c.words AS words, c.key AS key, array_join(slice(lines, c.s + 1, c.e - c.s), '\\n') AS body))) AS c"
+    body = "explode(transform(cs, c -> struct(c.s AS s, c.e AS e, c.key AS key, array_join(slice(lines, c.s + 1, c.e - c.s), '\\n') AS body))) AS c"
     bodies = texts.selectExpr("rid", "doc_id", "size(lines) AS n_lines", body)
     bodies = cut(bodies.select("rid", "doc_id", "n_lines", "c.*"), f"{tag}-bodies")
-    place = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("rid").alias("r"), F.col("s").alias("p"))
     firsts = cut(bodies.groupBy("key", "body").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "body", "first"), f"{tag}-firsts")
-    gone = bodies.join(firsts, ["key", "body"]).where((F.col("rid") != F.col("first.r")) | (F.col("s") != F.col("first.p")))
-    whole = F.max_by(F.struct("s", "e", "words"), F.col("e") - F.col("s"))
-    sums = gone.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("parts"), F.first("n_lines").alias("n_lines"), F.sum(F.col("e") - F.col("s")).alias("ls"), F.sum("words").alias("ws"), whole.alias("w"))
-    pick = lambda yes, no: F.when(F.col("w.e") - F.col("w.s") == F.col("n_lines"), yes).otherwise(no)
-    one = F.array(F.struct(F.col("w.s").alias("s"), F.col("w.e").alias("e")))
-    return sums.select("rid", pick(one, F.col("parts")).alias("removed"), "n_lines", pick(F.col("n_lines"), F.col("ls")).cast("long").alias("removed_lines"), pick(F.col("w.words"), F.col("ws")).alias("removed_words"))
+    gone = bodies.join(firsts, ["key", "body"]).where(second)
+    # windows may overlap: each line goes once
+    by_line = gone.selectExpr("rid", "n_lines", f"transform(split(body, '\\n', -1), (x, k) -> struct(s + k AS p, regexp_count(x, '{WORD}') AS w)) AS part")
+    sums = by_line.groupBy("rid").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("part")))).alias("g"), F.first("n_lines").alias("n_lines"))
+    starts, ends = "transform(filter(g, (x, k) -> k = 0 OR g[k - 1].p < x.p - 1), x -> x.p)", "transform(filter(g, (x, k) -> k = size(g) - 1 OR g[k + 1].p > x.p + 1), x -> x.p + 1)"
+    return sums.selectExpr("rid", f"zip_with({starts}, {ends}, (a, b) -> struct(a AS s, b AS e)) AS removed", "n_lines", "cast(size(g) AS bigint) AS removed_lines", "aggregate(g, 0L, (a, x) -> a + x.w) AS removed_words")
 
 
-def without_repeats(docs: DataFrame, tag: str = "lines") -> tuple[DataFrame, list[str]]:
+def without_repeats(docs: DataFrame, tag: str = "lines", passages: bool = False) -> tuple[DataFrame, list[str]]:
     """``docs`` with text cut, and the names of added columns: removed_lines, removed_words, and whether nothing but blanks is left."""
     names = fresh(docs.columns, "rid", "rid2", "removed", "removed_lines", "removed_words", "emptied", "gap_lines")
     rid, rid2, removed, n_lines, n_words, emptied, total = names
-    gone = cut(repeated(docs, tag), f"{tag}-removed").select(F.col("rid").alias(rid2), F.col("removed").alias(removed), F.col("removed_lines").alias(n_lines), F.col("removed_words").alias(n_words), F.col("n_lines").alias(total))
+    gone = cut(repeated(docs, tag, passages), f"{tag}-removed").select(F.col("rid").alias(rid2), F.col("removed").alias(removed), F.col("removed_lines").alias(n_lines), F.col("removed_words").alias(n_words), F.col("n_lines").alias(total))
     joined = docs.withColumn(rid, row_key(F.col("doc_id"), F.col("text"))).join(light(gone, 160), F.col(rid) == F.col(rid2), "left")
     keep = f"""transform(array(split(`text`, '\\n', -1)), x -> array_join(flatten(transform(sequence(0, size({removed})),
         k -> slice(x, IF(k = 0, 0, {removed}[k - 1].e) + 1, IF(k = size({removed}), {total}, {removed}[k].s) - IF(k = 0, 0, {removed}[k - 1].e)))), '\\n'))[0]"""
@@ -77,13 +126,13 @@ def without_repeats(docs: DataFrame, tag: str = "lines") -> tuple[DataFrame, lis
 
 
 def op2_line_chunks(spark, sf_dir) -> DataFrame:
-    left, (lines, words, _) = without_repeats(need(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text"), "op2")
+    left, (lines, words, _) = without_repeats(need(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text"), "op2", passages=True)
     return left.select("doc_id", F.coalesce(lines, F.lit(0)).cast("long").alias("removed_lines"), F.coalesce(words, F.lit(0)).cast("long").alias("removed_words"), "text")
 
 
 def line_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without repeated chunks, n_chars to match; documents of which nothing but blanks is left go, being copies."""
-    left, (_, _, emptied) = without_repeats(docs, "stage")
+    left, (_, _, emptied) = without_repeats(docs, "stage", passages=True)
     left = left.where(~F.coalesce(F.col(emptied), F.lit(False)))
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

@@ -60,6 +60,19 @@ def test_line_chunks_equal_plain_loops(spark):
     assert shared in kept[50] and all(shared not in kept[k] for k in (51, 52, 53)) and long_line not in kept[61] and len(kept[51]) > 300
 
 
+def test_no_copy_of_a_passage_stays(spark):
+    """Passages parted by boundaries: two lines of 30 words after other lines, and 25, 25 and 3 words of which lines are also found alone."""
+    two, three = prose(510, 60, 30), "\n".join([prose(511, 25, 25), prose(512, 25, 25), prose(513, 3, 3)])
+    rows = [(100 + k, prose(1000 + k, 36) + "\n" + two + "\n" + prose(1100 + k, 36), "en", "s", 1) for k in range(24)]
+    rows += [(200 + k, prose(1200 + k, 36) + "\n" + three + "\n" + prose(1300 + k, 36), "en", "s", 1) for k in range(6)]
+    rows += [(300 + k, prose(1400 + k, 36) + "\n" + three.split("\n")[k], "en", "s", 1) for k in (0, 2)]
+    left, (lines, words, _) = op2_lines.without_repeats(spark.createDataFrame(rows, SCHEMA).withColumn("was", F.col("text")), "t", passages=True)
+    got = {r["doc_id"]: r for r in left.select("doc_id", "was", "text", lines, words).collect()}
+    assert all(got[k]["text"] == got[k]["was"] for k in (100, 200, 300, 302))
+    assert all(got[100 + k]["text"] == rows[k][1].replace("\n" + two, "") and (got[100 + k][lines], got[100 + k][words]) == (2, 60) for k in range(1, 24))
+    assert all(got[200 + k]["text"] == rows[24 + k][1].replace("\n" + three, "") and (got[200 + k][lines], got[200 + k][words]) == (3, 53) for k in range(1, 6))
+
+
 def test_line_stage(spark, odd, none, odd_dir):
     out = op2_lines.line_stage(spark, odd, odd_dir)
     assert out.columns == odd.columns
