@@ -2,26 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.storage import cut, shared_dir
 
-__all__ = ["BATCH_ROWS", "cut", "fresh", "light", "need", "row_key", "shared_dir", "small_batches", "table"]
+__all__ = ["bounded", "cut", "fresh", "light", "need", "row_key", "shared_dir", "table"]
 
 #: The most that a side of a join may take to be broadcast.
 LIGHT_BYTES = 32_000_000
-#: Rows in one Arrow batch sent to Python. Documents average a few kB, so a batch is a few MB.
-BATCH_ROWS = 1000
+#: Rows and characters that Python works on at once; Spark bounds the bytes of the Arrow batches that they are cut from.
+BATCH_ROWS, BATCH_CHARS = 1000, 4_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def light(df: DataFrame, row_bytes: int) -> DataFrame:
-    """``df`` marked for broadcast if its rows, counted, take at most ``LIGHT_BYTES``; else as it is, for a shuffled join. ``df`` should be a written table."""
-    return F.broadcast(df) if df.count() * row_bytes <= LIGHT_BYTES else df
+def light(df: DataFrame, row_bytes: int | Column) -> DataFrame:
+    """``df`` marked for broadcast if its rows, measured, take at most ``LIGHT_BYTES``; else as it is, for a shuffled join. ``df`` should be a written table."""
+    took = df.agg(F.sum(F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes).cast("long")).first()[0]
+    return F.broadcast(df) if (took or 0) <= LIGHT_BYTES else df
 
 
 def fresh(taken, *names: str) -> list[str]:
@@ -46,5 +50,18 @@ def row_key(id_col: Column, text_col: Column) -> Column:
     return F.concat_ws(":", F.coalesce(id_col.cast("string"), F.lit("-")), F.hex(F.xxhash64(text_col)), F.length(F.coalesce(text_col, F.lit(""))).cast("string"))
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bounded(run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], text: str, rows: int = BATCH_ROWS, chars: int = BATCH_CHARS):
+    """``run`` over slices of its batches of at most ``rows`` rows, and ``chars`` characters of column ``text`` or one row."""
+
+    def slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            start, held = 0, 0
+            for k, t in enumerate(b[text]):
+                size = len(t) if t is not None else 0
+                if k > start and (held + size > chars or k - start >= rows):
+                    yield b.iloc[start:k].reset_index(drop=True)
+                    start, held = k, 0
+                held += size
+            yield b.iloc[start:].reset_index(drop=True)
+
+    return lambda batches: run(slices(batches))

@@ -7,11 +7,12 @@ occurrence of a window: ``SPAN`` consecutive words of an item, or a whole item o
    share a whole such stretch, hence its least hash: no shared span is missed. Documents and items are treated alike.
    Items of fewer words have one hash of all their words, met by documents' hashes of that many words; this is computed only for
    lengths that occur.
-2. Documents and items that share a fingerprint are candidates, one row per pair.
-3. Each hit is extended on the real words: the windows of the document are compared, as text, with those of its candidate items.
+2. Documents that share a fingerprint with an item are candidates.
+3. Each hit is extended on the real words: every window of a candidate is joined, as text, with the distinct windows of the items. A
+   window's items are one set, and equal sets are one row, so a passage that thousands of items share meets a document once.
 
-Hashes only propose; texts decide, so collisions do no harm. Items are broadcast only below ``BROADCAST_ROWS`` fingerprints and
-otherwise joined by shuffle. Null texts and texts without a word have no window and no hit. Repeated rows are judged alike; items with
+Fingerprints only propose; texts decide, so collisions do no harm. Sides are broadcast while their measured bytes are few, and
+shuffled otherwise. Null texts and texts without a word have no window and no hit. Repeated rows are judged alike; items with
 the same item_id count once, and a null item_id counts but is not listed.
 """
 
@@ -23,7 +24,6 @@ from pyspark.sql import functions as F
 from .common import cut, fresh, light, need, row_key
 
 SPAN, GRAM = 10, 5
-BROADCAST_ROWS = 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BREAKS = r"[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
@@ -94,21 +94,26 @@ def contamination(docs: DataFrame, benchmark: DataFrame, tag: str = "decontam")
     keyed = need(docs, "doc_id", "text").withColumn("rid", row_key(F.col("doc_id"), F.col("text")))
     prints = short_grams(winnowed(with_words(keyed).select("rid", "doc_id", "words", "n")), lengths)
     prints = cut(prints.select("rid", "doc_id", F.col("n").cast("long").alias("n_words"), "fps"), f"{tag}-prints")
-    wanted = items.select("item", F.explode("fps").alias("fp"))
-    size = wanted.count()
-    met = prints.select("rid", F.explode("fps").alias("fp")).join(F.broadcast(wanted) if size <= BROADCAST_ROWS else wanted, "fp").select("rid", "item").distinct()
-    near = met.join(F.broadcast(items) if size <= BROADCAST_ROWS else items, "item")
-    per_doc = cut(near.groupBy("rid").agg(F.collect_list(F.struct("item_id", "len", "windows")).alias("items")), f"{tag}-near")
-    texts = keyed.join(light(per_doc.select("rid"), 60), "rid").dropDuplicates(["rid"])
-    words = with_words(texts.join(per_doc, "rid")).select("rid", "items", "words", "n")
+    wanted = cut(items.select(F.explode("fps").alias("fp")).distinct(), f"{tag}-wanted")
+    near = cut(prints.select("rid", F.explode("fps").alias("fp")).join(light(wanted, 16), "fp").select("rid").distinct(), f"{tag}-near")
+
+    each = items.select(F.col("item_id").cast("string").alias("id"), "len", F.explode("windows").alias("w"))
+    windows = each.groupBy("len", "w").agg(F.sort_array(F.collect_set("id")).alias("ids"), F.max(F.col("id").isNull().cast("int")).alias("anon"))
+    windows = cut(windows.withColumn("sid", F.sha2(F.to_json(F.struct("ids", "anon")), 256)), f"{tag}-windows")
+    sets = cut(windows.groupBy("sid").agg(F.first("ids").alias("ids"), F.first("anon").alias("anon")), f"{tag}-sets")
+
+    words = with_words(keyed.join(light(near, F.length("rid") + 40), "rid").dropDuplicates(["rid"])).select("rid", "words")
     # the words are bound to a lambda's variable: as a column, the optimiser would put the split itself into the inner loop
-    at = "filter(sequence(1, size(w) - it.len + 1), i -> array_contains(it.windows, array_join(slice(w, i, it.len), ' ')))"
-    of_words = f"transform(items, it -> struct(cast(it.item_id AS string) AS id, it.len AS len, IF(size(w) < it.len, array(), {at}) AS at))"
-    found = words.selectExpr("rid", f"filter(transform(array(words), w -> {of_words})[0], x -> size(x.at) > 0) AS hits")
-    spans = "array_sort(array_distinct(flatten(transform(hits, x -> transform(x.at, i -> struct(i AS s, i + x.len AS e))))))"
-    joined = found.selectExpr("rid", f"{spans} AS spans", "array_distinct(transform(hits, x -> x.id)) AS ids")
+    at = lambda k: f"IF(size(w) < {k}, array(), transform(sequence(1, size(w) - {k - 1}), i -> struct(i AS s, {k} AS len, array_join(slice(w, i, {k}), ' ') AS w)))"
+    places = words.selectExpr("rid", f"explode(transform(array(words), w -> concat({', '.join(at(k) for k in sorted({*lengths, SPAN}))}))[0]) AS x").select("rid", "x.*")
+    hits = cut(places.join(light(windows.select("len", "w", "sid"), F.octet_length("w") + 120), ["len", "w"]).select("rid", "s", "len", "sid"), f"{tag}-hits")
+
+    found = hits.select("rid", "sid").distinct().join(light(sets, F.size("ids") * 24 + 100), "sid")
+    anon = found.groupBy("rid").agg(F.max("anon").alias("anon"))
+    ids = found.select("rid", F.explode("ids").alias("id")).distinct().groupBy("rid").agg(F.sort_array(F.collect_list("id")).alias("items"))
+    spans = hits.groupBy("rid").agg(F.array_sort(F.collect_set(F.expr("struct(s, s + len AS e)"))).alias("spans"))
     cover = "aggregate(spans, struct(0 AS e, 0L AS n), (a, x) -> struct(greatest(a.e, x.e) AS e, a.n + greatest(0, x.e - greatest(a.e, x.s)) AS n), a -> a.n)"
-    hit = joined.selectExpr("rid", "spans", f"{cover} AS n_hit", "cast(size(ids) AS bigint) AS n_items", "array_sort(filter(ids, x -> x IS NOT NULL)) AS items").where("n_hit > 0")
+    hit = spans.join(anon, "rid").join(ids, "rid", "left").selectExpr("rid", "spans", f"{cover} AS n_hit", "cast(coalesce(size(items), 0) + anon AS bigint) AS n_items", "items")
     hit = cut(hit, f"{tag}-hit")
     return prints.select("rid", "doc_id", "n_words").join(hit, "rid", "left").selectExpr("rid", "doc_id", "n_words", "coalesce(n_hit, 0L) AS n_hit", "coalesce(n_items, 0L) AS n_items", "coalesce(items, cast(array() AS array<string>)) AS items", "spans")
 
@@ -124,7 +129,7 @@ def decontamination_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "stage")
     gone = cut(found.where("n_hit > 0").select(F.col("rid").alias(k2)).distinct(), "stage-gone")
     keyed = docs.withColumn(key, row_key(F.col("doc_id"), F.col("text")))
-    return keyed.join(light(gone, 60), F.col(key) == F.col(k2), "left_anti").select(*(f"`{c}`" for c in docs.columns))
+    return keyed.join(light(gone, F.length(k2) + 40), F.col(key) == F.col(k2), "left_anti").select(*(f"`{c}`" for c in docs.columns))
 
 
 WORDS_SQL = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"

@@ -1,15 +1,16 @@
 """Language identification by a linear-chain conditional random field over words.
 
-Words are runs of letters, lower-cased; a chain is a line (longer ones are cut every ``MAX_CHAIN`` words). A word's features are its
+Words are runs of letters, lower-cased; a chain is a whole line, however long. A word's features are its
 character n-grams of 2 to 4 with the word's ends as characters (so they hold prefixes and suffixes of up to three letters) and its
 entry in a lexicon of the training words. Feature and transition weights are learned together by AdaGrad on the conditional
 likelihood, with forward-backward for the gradient; training chains join stretches of documents in different languages, so
 transitions see code-switching. Forward-backward then gives every word of a text a distribution over languages; a document's is
 their mean.
 
-Training reads text and lang alone, of rows with ``crc32(doc_id) mod 5 <> 0`` and non-null lang: of each language the
-``PER_LANG`` documents whose doc_id hashes lowest, without those over ``MAX_CHARS`` characters, ``DOC_WORDS`` words of each.
-That sample is bounded; prediction reads every whole text.
+Training reads text and lang alone, of rows with ``crc32(doc_id) mod 5 <> 0``, non-null lang and text, and at most ``MAX_CHARS``
+characters: a hash deals each language's documents over ``PARTS`` parts, and of each part the ``PART_DOCS`` rows whose doc_id hashes
+lowest are taken, ``DOC_WORDS`` words of each. That sample is bounded, rows and not documents being counted; prediction reads every
+whole text.
 
 ``lang_pred`` is a learned language, or ``und`` with score 0 for null texts and texts without a letter. If there is no training row, all
 are ``und``. Null doc_ids are not held out and not trained on. Repeated rows are predicted each.
@@ -27,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import need, small_batches
+from .common import bounded, cut, light, need
 
-PER_LANG, MAX_CHARS, DOC_WORDS = 600, 20_000, 150
+PARTS, PART_DOCS, MAX_CHARS, DOC_WORDS = 60, 10, 20_000, 150
 GRAM_BITS, LEXICON, STRETCH, TRAIN_CHAIN = 17, 40_000, 15, 60
-MAX_CHAIN, EPOCHS, BATCH, RATE, DECAY = 256, 6, 256, 0.5, 1e-6
+EPOCHS, BATCH, RATE, DECAY = 6, 256, 0.5, 1e-6
 MEMO = 700_000
 UNKNOWN = "und"
 TOKEN = re.compile(r"[^\W\d_]+|\n")
@@ -150,11 +151,7 @@ class Tagger:
         if not words:
             return words, np.zeros((0, len(self.labels)), np.float32), per_text
         edges = np.unique(np.array([*breaks, len(words)]))
-        size = np.diff(edges)
-        cuts = -(-size // MAX_CHAIN)
-        first = np.repeat(edges[:-1], cuts) + MAX_CHAIN * (np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts))
-        size = np.diff([*first, len(words)])
-        post, _ = forward_backward(self.lookup(words), first, size, self.begin, self.move)
+        post, _ = forward_backward(self.lookup(words), edges[:-1], np.diff(edges), self.begin, self.move)
         return words, post, per_text
 
     def label_words(self, text: str) -> list[tuple[str, str]]:
@@ -162,10 +159,11 @@ class Tagger:
         words, post, _ = self.posteriors([text])
         return [(w, self.labels[k]) for w, k in zip(words, post.argmax(1), strict=True)]
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        label, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text: its language, the language's mean share, its words, and how many of them are labelled otherwise."""
+        label, score, other = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
         if not self.labels:
-            return label, score
+            return label, score, other, other
         _, post, per_text = self.posteriors(texts)
         full = np.flatnonzero(per_text)
         if len(full):
@@ -173,7 +171,8 @@ class Tagger:
             mean = np.add.reduceat(post.astype(np.float64), first, axis=0) / per_text[full, None]
             for k, best, value in zip(full, mean.argmax(1), mean.max(1), strict=True):
                 label[k], score[k] = self.labels[best], min(1.0, float(value))
-        return label, score
+            other[full] = np.add.reduceat(post.argmax(1) != np.repeat(mean.argmax(1), per_text[full]), first, dtype=np.int64)
+        return label, score, per_text, other
 
 
 def fit(rows: list[tuple[str, str]]) -> Tagger:
@@ -252,30 +251,28 @@ def fit(rows: list[tuple[str, str]]) -> Tagger:
 
 
 def training_rows(docs: DataFrame) -> list[tuple[str, str]]:
-    ids = need(docs, "doc_id", "lang").where("doc_id IS NOT NULL AND lang IS NOT NULL AND crc32(cast(cast(doc_id AS string) AS binary)) % 5 <> 0")
-    order = (F.xxhash64("doc_id"), F.col("doc_id"))
-    few = ids.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(64)))  # first within parts, so that a frequent language is spread
-    for keys in (["lang", "part"], ["lang"]):
-        few = few.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(f"r <= {PER_LANG}")
-    ranked = few.select("doc_id").distinct()
-    rows = need(docs, "doc_id", "lang", "text").where(f"lang IS NOT NULL AND text IS NOT NULL AND length(text) <= {MAX_CHARS}").join(ranked, "doc_id")
-    return [(r["text"], r["lang"]) for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id", "lang", F.xxhash64("text")).collect()]
+    usable = f"doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL AND length(text) <= {MAX_CHARS} AND crc32(cast(cast(doc_id AS string) AS binary)) % 5 <> 0"
+    rows = need(docs, "doc_id", "lang", "text").where(usable).withColumn("h", F.xxhash64("text"))
+    dealt = rows.select("doc_id", "lang", "h", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(PARTS)).alias("part"))
+    rank = F.row_number().over(Window.partitionBy("lang", "part").orderBy(F.xxhash64("doc_id"), "doc_id", "h"))  # Spark keeps each task's first ones before it shuffles
+    taken = cut(dealt.withColumn("r", rank).where(f"r <= {PART_DOCS}").select("doc_id", "lang", "h").distinct(), "training")
+    found = rows.join(light(taken, 60), ["doc_id", "lang", "h"]).dropDuplicates(["doc_id", "lang", "h"])
+    return [(r["text"], r["lang"]) for r in found.orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "h").collect()]
 
 
 def identify(docs: DataFrame, model: Tagger) -> DataFrame:
-    """doc_id, lang_pred, score for every row; one pass over whole texts, no shuffle."""
-    small_batches(docs.sparkSession, 500)
+    """doc_id, lang_pred, score, n_words, n_other (words of another language) for every row; one pass over whole texts, no shuffle."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            label, score = model.predict(list(b["text"]))
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "lang_pred": label, "score": score})
+            label, score, words, other = model.predict(list(b["text"]))
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "lang_pred": label, "score": score, "n_words": words, "n_other": other})
 
-    return need(docs, "doc_id", "text").mapInPandas(run, "doc_id long, lang_pred string, score double")
+    return need(docs, "doc_id", "text").mapInPandas(bounded(run, "text", 500), "doc_id long, lang_pred string, score double, n_words long, n_other long")
 
 
 def op1_language_id(spark, sf_dir) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = identify(docs, fit(training_rows(docs)))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
-    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "n_words", "n_other")

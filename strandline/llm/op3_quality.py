@@ -1,22 +1,25 @@
 """Quality rules with adaptive thresholds: mergeable quantile sketches per language and source replace fixed cutoffs.
 
 1. Each whole text is measured once (Python, one pass): counts only, no text leaves this step.
-2. Every derived metric is a whole number. It goes into a log-linear sketch: numbers below 64 are their own bucket,
-   larger ones keep their top six bits, so a bucket is at most 1/32 of its value wide. Two sketches merge by adding the
-   counts of equal buckets, which is a plain ``groupBy(...).count()`` with partial aggregation; a group has at most a few
-   hundred buckets whatever its size.
-3. Quartiles come from the cumulated buckets. A group's limit is ``q75 + 3 * (q75 - q25) + slack``; groups under
-   ``MIN_GROUP`` documents take the limit of their language (all its sources' sketches merged), and languages under it
-   that of the corpus.
-4. Documents join their group's limits and are kept if no metric is above its limit and the base rules pass.
+2. Every metric is a rate, a count over a base, as a whole number. The rates of the documents that the base rules let through go into
+   log-linear sketches: numbers below 64 are their own bucket, larger ones keep their top six bits, so a bucket is at most 1/32 of its
+   value wide. Two sketches merge by adding the counts of equal buckets, which is a plain ``groupBy(...).count()`` with partial
+   aggregation; a group has at most a few hundred buckets whatever its size. Repeats are rare, so their sketches hold only the
+   documents that have any.
+3. A group's limit is ``q75 + FENCE * (q75 - q25)`` of its own sketch and nothing else. A metric with under ``MIN_GROUP`` values in a group
+   takes the limit of the language (all its sources' sketches merged), and one with so few in the language that of the corpus.
+4. Documents join their group's limits. A document is over one if its count exceeds the limit's share of its base by more than
+   ``DEVIATIONS`` times the square root of the count, the deviation of a count by chance, so that a few occurrences in a short text prove
+   nothing. It is kept if it is over no limit and the base rules pass.
 
 Null or empty texts have no word: every count is 0 and the base rule on words rejects them. Null languages and sources are
-groups of their own. Repeated rows count and are judged as often as they occur.
+groups of their own. Repeated rows count and are judged as often as they occur. Where no document has a metric's event it has no limit.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -24,21 +27,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, fresh, light, need, row_key, small_batches
+from .common import bounded, cut, fresh, light, need, row_key
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\r\x0b\x0c"
 MIN_WORDS, MAX_REPEAT_SHARE, GRAM = 10, 20, 5
-MIN_GROUP, FENCE = 50, 3
-#: metric -> (its SQL over the counts, slack of its upper limit). Shares are per thousand. repeat_share's slack is below the base rule's 200, else it could reject nothing.
+MIN_GROUP, FENCE, DEVIATIONS = 50, 3, 3
+#: metric -> (count, base, scale of the rate, whether its sketch holds only documents that have any).
 METRICS = {
-    "symbol_share": ("n_symbols * 1000 div greatest(word_chars, 1)", 40),
-    "shout_share": ("n_shouts * 1000 div greatest(word_chars, 1)", 120),
-    "caps_share": ("n_caps * 1000 div greatest(word_chars, 1)", 250),
-    "repeat_share": ("n_repeat_words * 1000 div greatest(n_words, 1)", 150),
-    "dup_line_share": ("n_dup_lines * 1000 div greatest(n_lines, 1)", 400),
-    "word_length": ("word_chars * 100 div greatest(n_words, 1)", 300),
+    "symbol_share": ("n_symbols", "word_chars", 1000, False),
+    "shout_share": ("n_shouts", "word_chars", 1000, False),
+    "caps_share": ("n_caps", "word_chars", 1000, False),
+    "repeat_share": ("n_repeat_words", "n_words", 1000, True),
+    "dup_line_share": ("n_dup_lines", "n_lines", 1000, True),
+    "word_length": ("word_chars", "n_words", 100, False),
 }
+BASE = f"(n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_SHARE} * n_words)"
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_caps long, n_shouts long"
 
 
@@ -79,7 +83,6 @@ def measure(text: str | None) -> tuple[int, ...]:
 
 
 def measured(docs: DataFrame, *keys: str) -> DataFrame:
-    small_batches(docs.sparkSession)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keys) + ", " + COUNTS
     names = [c.split()[0] for c in COUNTS.split(", ")]
 
@@ -88,7 +91,7 @@ def measured(docs: DataFrame, *keys: str) -> DataFrame:
             got = pd.DataFrame([measure(t) for t in b["text"]], columns=names, index=b.index, dtype="int64")
             yield pd.concat([b[list(keys)], got], axis=1)
 
-    return need(docs, *keys, "text").mapInPandas(run, schema)
+    return need(docs, *keys, "text").mapInPandas(bounded(run, "text"), schema)
 
 
 def bucket(v: str) -> str:
@@ -98,35 +101,40 @@ def bucket(v: str) -> str:
 
 
 def limits(counted: DataFrame) -> DataFrame:
-    """One row for each (lang, source) with an array ``limit`` in the order of METRICS."""
-    pairs = ", ".join(f"{i}, {bucket(name)}" for i, name in enumerate(METRICS))
-    flat = counted.selectExpr(*(f"cast({sql} as bigint) as {name}" for name, (sql, _) in METRICS.items()), "lang", "source")
-    cells = flat.selectExpr("lang", "source", f"stack({len(METRICS)}, {pairs}) as (metric, low)")
+    """One row for each (lang, source), as g_lang and g_source, with an array g_limit in the order of METRICS (null: no limit)."""
+    kind = counted.select("lang", "source")
+    rate = lambda c, base, scale: f"{c} * {scale} div greatest({base}, 1)"
+    pairs = ", ".join(f"{i}, {bucket(name)}, {name} > 0 OR {not some}" for i, (name, (*_, some)) in enumerate(METRICS.items()))
+    flat = counted.where(f"NOT {BASE}").selectExpr("lang", "source", *(f"cast({rate(*m[:3])} as bigint) as {name}" for name, m in METRICS.items()))
+    cells = flat.selectExpr("lang", "source", f"stack({len(METRICS)}, {pairs}) as (metric, low, counts)").where("counts")
     sketch = cells.groupBy("lang", "source", "metric", "low").agg(F.count("*").alias("n"))
 
-    def fences(level: DataFrame, *by: str) -> DataFrame:
+    def fences(by: tuple[str, ...], p: str) -> DataFrame:
+        """metric, the columns ``by``, their number of values and fence; names start with ``p``."""
         w = Window.partitionBy(*by, "metric")
-        upto = level.groupBy(*by, "metric", "low").agg(F.sum("n").alias("n")).select("*", F.sum("n").over(w.orderBy("low").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.sum("n").over(w).alias("total"))
+        upto = sketch.groupBy(*by, "metric", "low").agg(F.sum("n").alias("n")).select("*", F.sum("n").over(w.orderBy("low").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.sum("n").over(w).alias("total"))
         q = lambda k: F.min(F.when(F.col("upto") * 4 >= F.col("total") * k, F.col("low")))
-        slack = F.get(F.array(*(F.lit(s) for _, s in METRICS.values())), F.col("metric"))
-        own = upto.groupBy(*by, "metric").agg(q(1).alias("q1"), q(3).alias("q3"), F.max("total").alias("total"))
-        own = own.select(*by, "total", F.struct("metric", (F.col("q3") + FENCE * (F.col("q3") - F.col("q1")) + slack).alias("v")).alias("f"))
-        return own.groupBy(*by).agg(F.max("total").alias("n"), F.transform(F.array_sort(F.collect_list("f")), lambda x: x["v"]).alias("limit"))
+        found = upto.groupBy(*by, "metric").agg((q(3) + FENCE * (q(3) - q(1))).alias(f"{p}limit"), F.max("total").alias(f"{p}n"))
+        return found.select(F.col("metric").alias(f"{p}metric"), *(F.col(c).alias(f"{p}{c}") for c in by), f"{p}n", f"{p}limit")
 
-    fine = fences(sketch, "lang", "source")
-    lang = fences(sketch, "lang").select(F.col("lang").alias("l_lang"), F.col("n").alias("l_n"), F.col("limit").alias("l_limit"))
-    every = fences(sketch).select(F.col("limit").alias("a_limit"))
-    both = fine.join(lang, F.col("lang").eqNullSafe(F.col("l_lang"))).join(F.broadcast(every))  # one row
-    chosen = F.when(F.col("n") >= MIN_GROUP, F.col("limit")).when(F.col("l_n") >= MIN_GROUP, F.col("l_limit")).otherwise(F.col("a_limit"))
-    return both.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), chosen.alias("g_limit"))
+    grid = kind.distinct().withColumn("metric", F.explode(F.sequence(F.lit(0), F.lit(len(METRICS) - 1))))
+    same = lambda p, *by: reduce(lambda a, c: a & F.col(c).eqNullSafe(F.col(f"{p}{c}")), by, F.col("metric") == F.col(f"{p}metric"))
+    near = grid.join(fences(("lang", "source"), "f_"), same("f_", "lang", "source"), "left").join(fences(("lang",), "l_"), same("l_", "lang"), "left")
+    near = near.join(F.broadcast(fences((), "a_")), same("a_"), "left")  # a row for each metric
+    chosen = F.when(F.col("f_n") >= MIN_GROUP, F.col("f_limit")).when(F.col("l_n") >= MIN_GROUP, F.col("l_limit")).otherwise(F.col("a_limit"))
+    rows = near.groupBy("lang", "source").agg(F.array_sort(F.collect_list(F.struct("metric", chosen.alias("v")))).alias("vs"))
+    return rows.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), F.transform("vs", lambda x: x["v"]).alias("g_limit"))
+
+
+def over_sql(limit: str, count: str, base: str, scale: int) -> str:
+    return f"({count} * {scale} - {limit} * {base} > {DEVIATIONS * scale} * sqrt({count}))"
 
 
 def judge(counted: DataFrame) -> DataFrame:
     """``counted`` with base_failed, n_over (metrics above their limit) and kept."""
-    over = " + ".join(f"int({sql} > g_limit[{i}])" for i, (sql, _) in enumerate(METRICS.values()))
+    over = " + ".join(f"int(coalesce({over_sql(f'g_limit[{i}]', *m[:3])}, false))" for i, m in enumerate(METRICS.values()))
     near = counted.join(limits(counted), F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
-    base = f"n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_SHARE} * n_words"
-    return near.selectExpr(*(f"`{c}`" for c in counted.columns), f"({base}) AS base_failed", f"({over}) AS n_over").withColumn("kept", ~F.col("base_failed") & (F.col("n_over") == 0))
+    return near.selectExpr(*(f"`{c}`" for c in counted.columns), f"{BASE} AS base_failed", f"({over}) AS n_over").withColumn("kept", ~F.col("base_failed") & (F.col("n_over") == 0))
 
 
 def score_documents(docs: DataFrame, tag: str = "op3") -> DataFrame:
@@ -145,7 +153,7 @@ def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     keyed = docs.withColumn(key, row_key(F.col("doc_id"), F.col("text")))
     counted = cut(measured(keyed, key, "lang", "source"), "quality-counts")
     gone = cut(judge(counted).where(~F.col("kept")).select(F.col(key).alias(k2)).distinct(), "quality-gone")
-    return keyed.join(light(gone, 60), F.col(key) == F.col(k2), "left_anti").select(*(f"`{c}`" for c in docs.columns))
+    return keyed.join(light(gone, F.length(k2) + 40), F.col(key) == F.col(k2), "left_anti").select(*(f"`{c}`" for c in docs.columns))
 
 
 def _sql_bucket(v: str) -> str:
@@ -153,11 +161,11 @@ def _sql_bucket(v: str) -> str:
 
 
 def op3_sql() -> str:
-    duck = [sql.replace(" div ", " // ") for sql, _ in METRICS.values()]
-    flat = " UNION ALL ".join(f"SELECT doc_id, lang, source, {i} AS metric, {sql} AS v, {slack} AS slack FROM counts" for i, (sql, (_, slack)) in enumerate(zip(duck, METRICS.values(), strict=True)))
-    level = """{name}a AS (SELECT {by} metric, low, slack, sum(n) AS n FROM sketch GROUP BY {by} metric, low, slack),
-{name}b AS (SELECT *, sum(n) OVER (PARTITION BY {by} metric ORDER BY low) AS upto, sum(n) OVER (PARTITION BY {by} metric) AS total FROM {name}a),
-{name} AS (SELECT {by} metric, max(total) AS n, (min(low) FILTER (upto * 4 >= total * 3)) + 3 * ((min(low) FILTER (upto * 4 >= total * 3)) - (min(low) FILTER (upto * 4 >= total))) + max(slack) AS lim FROM {name}b GROUP BY {by} metric)"""
+    flat = " UNION ALL ".join(
+        f"SELECT doc_id, lang, source, {i} AS metric, {c} * {scale} // greatest({base}, 1) AS v, {c} AS c, {base} AS b, {scale} AS scale, base_failed, ({c} > 0 OR {not some}) AS counts FROM base" for i, (c, base, scale, some) in enumerate(METRICS.values())
+    )
+    level = """{name}b AS (SELECT *, sum(n) OVER (PARTITION BY {by} metric ORDER BY low) AS upto, sum(n) OVER (PARTITION BY {by} metric) AS total FROM (SELECT {by} metric, low, sum(n) AS n FROM sketch GROUP BY {by} metric, low)),
+{name} AS (SELECT {by} metric, max(total) AS n, (min(low) FILTER (upto * 4 >= total * 3)) + {fence} * ((min(low) FILTER (upto * 4 >= total * 3)) - (min(low) FILTER (upto * 4 >= total))) AS lim FROM {name}b GROUP BY {by} metric)"""
     return f"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents),
 w0 AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS w, generate_subscripts(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), 1) AS i FROM d),
@@ -170,14 +178,14 @@ counts AS (SELECT d.doc_id, lang, source, coalesce(n_words, 0)::BIGINT AS n_word
   length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dups, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
   coalesce(n_lines, 0)::BIGINT AS n_lines, length(regexp_replace(text, '[^A-Z]', '', 'g'))::BIGINT AS n_caps, length(regexp_replace(text, '[^!]', '', 'g'))::BIGINT AS n_shouts
   FROM d LEFT JOIN nw USING (doc_id) LEFT JOIN ln USING (doc_id) LEFT JOIN rep USING (doc_id)),
+base AS (SELECT *, {BASE} AS base_failed FROM counts),
 flat AS ({flat}),
-sketch AS (SELECT lang, source, metric, slack, {_sql_bucket('v')} AS low, count(*) AS n FROM flat GROUP BY ALL),
-{level.format(name='fine', by='lang, source,')},
-{level.format(name='mid', by='lang,')},
-{level.format(name='every', by='')},
-lim AS (SELECT f.lang, f.source, f.metric, CASE WHEN f.n >= {MIN_GROUP} THEN f.lim WHEN m.n >= {MIN_GROUP} THEN m.lim ELSE e.lim END AS lim
-  FROM fine f JOIN mid m ON f.lang IS NOT DISTINCT FROM m.lang AND f.metric = m.metric JOIN every e ON f.metric = e.metric),
-over AS (SELECT doc_id FROM flat x JOIN lim l ON x.lang IS NOT DISTINCT FROM l.lang AND x.source IS NOT DISTINCT FROM l.source AND x.metric = l.metric WHERE x.v > l.lim GROUP BY doc_id),
-base AS (SELECT *, (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_SHARE} * n_words) AS base_failed FROM counts)
+sketch AS (SELECT lang, source, metric, {_sql_bucket('v')} AS low, count(*) AS n FROM flat WHERE counts AND NOT base_failed GROUP BY ALL),
+{level.format(name='fine', by='lang, source,', fence=FENCE)},
+{level.format(name='mid', by='lang,', fence=FENCE)},
+{level.format(name='every', by='', fence=FENCE)},
+over AS (SELECT doc_id FROM flat x LEFT JOIN fine f ON x.lang IS NOT DISTINCT FROM f.lang AND x.source IS NOT DISTINCT FROM f.source AND x.metric = f.metric
+  LEFT JOIN mid m ON x.lang IS NOT DISTINCT FROM m.lang AND x.metric = m.metric LEFT JOIN every e ON x.metric = e.metric
+  WHERE c * scale - (CASE WHEN f.n >= {MIN_GROUP} THEN f.lim WHEN m.n >= {MIN_GROUP} THEN m.lim ELSE e.lim END) * b > {DEVIATIONS} * scale * sqrt(c))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM over) AS kept FROM base
 """

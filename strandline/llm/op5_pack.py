@@ -3,15 +3,15 @@
 Lengths are whole numbers up to the capacity, so the corpus enters planning as a histogram of at most ``CAPACITY`` cells; the
 plan is made on the driver from that alone and costs the same for any number of documents.
 
-1. Large lengths (over ``CAPACITY / SMALL_PART``) are sorted and split into groups of equal cardinality; each is rounded up to its
-   group's largest, which leaves few sizes.
+1. Large lengths (over ``CAPACITY / SMALL_PART``, below the capacity) are sorted and split into ``GROUPS`` groups of equal cardinality;
+   each is rounded up to its group's largest, which leaves few sizes.
 2. Configurations (multisets of those sizes that fit) are optimised by column generation: a simplex over one row per size, priced
-   by an exact knapsack. Whole multiples are taken, what is left over is packed first-fit decreasing.
+   by an exact knapsack, until no configuration saves more than ``TOLERANCE``. Whole multiples are taken.
 3. Actual documents replace the rounded sizes, largest first within a group; a run of sequences with the same lengths stays one
-   record, so the plan's size depends on the histogram only. A run whose real documents leave more free than a try allows is
-   given up and its documents go on to step 4.
-4. What is left goes best-fit, largest first, into the run with the least room that still takes it, else into new sequences.
-   Several group counts are tried, the last with none (best-fit alone), and the plan with the fewest sequences is kept.
+   record, so the plan's size depends on the histogram only.
+4. Small lengths, and the large ones that the multiples' fractions leave over, go best-fit, largest first, into the run with the least
+   room that still takes them (the room that rounding up left), else into new sequences. What fractions leave is less than one
+   sequence a group whatever the input's size.
 
 Documents find their place by (length, rank): ranks within a length are numbered in salted parts, so that a length that a third of
 all documents share is spread. A document longer than the capacity is cut; its first piece may be shorter. Null and empty texts
@@ -30,19 +30,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .byte_bpe import encoder
-from .common import cut, need, small_batches
+from .common import bounded, cut, need
 
-CAPACITY, END_ID, SMALL_PART = 2048, 0, 8
-#: (groups, tokens that a configuration's real documents may leave free) tried in turn; the last rounds nothing.
-TRIES = ((24, CAPACITY), (48, 16), (96, 0), (0, 0))
+CAPACITY, END_ID, SMALL_PART, GROUPS = 2048, 0, 8, 256
+#: What a further configuration must save, as a part of a sequence, and the most knapsacks solved.
+TOLERANCE, PRICINGS = 2e-4, 400
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every piece; ids stay in the worker."""
-    small_batches(docs.sparkSession)
+    """doc_id, piece, start, length, ids_crc32 of every piece, and nth (its number in its task); ids stay in the worker."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc, end = encoder(path), np.array([END_ID], np.uint32)
+        enc, end, nth = encoder(path), np.array([END_ID], np.uint32), 0
         for b in batches:
             rows = []
             for doc, ids in zip(b["doc_id"].astype("Int64"), enc.encode(list(b["text"])), strict=True):
@@ -50,15 +49,16 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
                 raw = memoryview(np.concatenate([ids, end]).astype("<u4").tobytes())
                 first = n % capacity or capacity
                 for k, (s, e) in enumerate(zip([0, *range(first, n, capacity)], [*range(first, n, capacity), n], strict=True)):
-                    rows.append((doc, k, s, e - s, zlib.crc32(raw[4 * s : 4 * e])))
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+                    rows.append((doc, k, s, e - s, zlib.crc32(raw[4 * s : 4 * e]), nth))
+                    nth += 1
+            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "nth"])
             yield out.astype({"doc_id": "Int64", "piece": "int32"})
 
-    return need(docs, "doc_id", "text").mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return need(docs, "doc_id", "text").mapInPandas(bounded(run, "text"), "doc_id long, piece int, start long, length long, ids_crc32 long, nth long")
 
 
-def _knapsack(values: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, np.ndarray]:
-    """The multiset of sizes that fits and is worth most."""
+def _knapsack(values: np.ndarray, sizes: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every room up to ``room``: the worth of the best multiset of sizes that fits, and the size put in last."""
     best, took = np.zeros(room + 1), np.full(room + 1, -1)
     for k, (v, s) in enumerate(zip(values.tolist(), sizes.tolist(), strict=True)):
         if v > 1e-12:
@@ -69,31 +69,48 @@ def _knapsack(values: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float,
                     break
                 best[s:] = np.where(better, gain, best[s:])
                 took[s:] = np.where(better, k, took[s:])
-    out, at = np.zeros(len(sizes), np.int64), int(np.argmax(best))
-    while at > 0 and took[at] >= 0:
-        out[took[at]] += 1
-        at -= int(sizes[took[at]])
-    return float((out * values).sum()), out
+    return best, took
 
 
 def configurations(sizes: np.ndarray, demand: np.ndarray, room: int) -> list[tuple[np.ndarray, int]]:
-    """(copies of each size, times) whose copies meet no more than the demand; what is left is the caller's."""
+    """(copies of each size, times): the whole part of the linear program's optimum, whose copies meet no more than the demand.
+
+    Column generation: one row a size; the knapsack prices, for each size, the best configuration that holds it, and the simplex
+    takes from that pool until none is worth more than a sequence by ``TOLERANCE``.
+    """
     m = len(sizes)
     basis = np.diag((room // sizes).astype(float))
     inverse = np.diag(1 / np.diag(basis))
     x = inverse @ demand
-    for _ in range(40 * m):
-        worth, column = _knapsack(inverse.sum(0), sizes, room)
-        if worth <= 1 + 1e-9:
-            break
-        step = inverse @ column
-        if not (step > 1e-9).any():
+    for turn in range(PRICINGS):
+        best, took = _knapsack(inverse.sum(0), sizes, room)
+        if best[room] <= 1 + TOLERANCE:
             break
-        ratio = np.where(step > 1e-9, x / np.where(step > 1e-9, step, 1), np.inf)
-        out = int(np.argmin(ratio))
-        basis[:, out] = column
-        inverse = np.linalg.inv(basis)
-        x = np.maximum(inverse @ demand, 0)
+        pool = np.eye(m, dtype=np.int64)
+        for k in range(m):
+            at = room - int(sizes[k])
+            while at > 0 and took[at] >= 0:
+                pool[k, took[at]] += 1
+                at -= int(sizes[took[at]])
+        pool = np.unique(pool, axis=0).astype(float)
+        for _ in range(3 * m):
+            worth = pool @ inverse.sum(0)
+            j = int(worth.argmax())
+            if worth[j] <= 1 + TOLERANCE / 2:
+                break
+            step = inverse @ pool[j]
+            up = step > 1e-9
+            ratio = np.where(up, x / np.where(up, step, 1), np.inf)
+            out = int(ratio.argmin())
+            basis[:, out] = pool[j]
+            x = np.maximum(x - ratio[out] * step, 0)
+            x[out] = ratio[out]
+            row = inverse[out] / step[out]
+            inverse = inverse - np.outer(step, row)
+            inverse[out] = row
+        if turn % 10 == 9:  # against the drift of the updates
+            inverse = np.linalg.inv(basis)
+            x = np.maximum(inverse @ demand, 0)
     left, found = demand.astype(np.int64).copy(), []
     for j in np.argsort(-x, kind="stable"):
         a = np.rint(basis[:, j]).astype(np.int64)
@@ -101,14 +118,6 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, room: int) -> list[tup
         if times > 0:
             left -= a * times
             found.append((a, times))
-    while left.any():  # first-fit decreasing over what rounding down left
-        a, free = np.zeros(m, np.int64), room
-        for i in np.argsort(-sizes, kind="stable"):
-            a[i] = min(left[i], free // sizes[i])
-            free -= int(a[i] * sizes[i])
-        times = min(int(left[i] // a[i]) for i in np.flatnonzero(a))
-        left -= a * times
-        found.append((a, times))
     return found
 
 
@@ -152,90 +161,89 @@ class _Runs:
             room = length
 
 
-def _plan(lengths: np.ndarray, counts: np.ndarray, capacity: int, groups: int, slack: int) -> _Runs:
+def _grouped(runs: _Runs, lengths: np.ndarray, counts: np.ndarray, groups: int) -> dict[int, int]:
+    """Linear grouping of these lengths: adds the configurations with their documents to ``runs``; returns what is left, by length."""
+    big, many = lengths[::-1], counts[::-1]
+    upto = np.cumsum(many)
+    group = np.minimum((upto - 1) * groups // upto[-1], groups - 1)
+    ids = np.unique(group)
+    sizes = np.array([big[group == g].max() for g in ids])
+    demand = np.array([many[group == g].sum() for g in ids])
+    stock = [[[int(s), int(n)] for s, n in zip(big[group == g], many[group == g], strict=True)][::-1] for g in ids]
+    for a, times in configurations(sizes, demand, runs.capacity):
+        columns = []
+        for i in (i for i in range(len(sizes)) for _ in range(a[i])):  # the next ``times`` documents of the group, largest first
+            got, want = [], times
+            while want:
+                length, have = stock[i][-1]
+                take = min(have, want)
+                got.append((length, take))
+                want -= take
+                if take == have:
+                    stock[i].pop()
+                else:
+                    stock[i][-1][1] -= take
+            columns.append(got)
+        ends = [np.cumsum([t for _, t in got]) for got in columns]
+        edges = np.unique(np.concatenate([[0], *ends]))
+        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):  # sequences whose documents have the same lengths
+            offset, items = 0, []
+            for got, end in zip(columns, ends, strict=True):
+                length = got[int(np.searchsorted(end, lo, "right"))][0]
+                items.append((length, runs.ranks(length, hi - lo), 1, offset))
+                offset += length
+            runs.add(hi - lo, items, runs.capacity - offset)
+    left: dict[int, int] = {}
+    for cells in stock:
+        for length, n in cells:
+            left[length] = left.get(length, 0) + n
+    return left
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> tuple[np.ndarray, int]:
+    """Rows (length, first rank, ranks, copies, first sequence, offset, grouped) sorted by length and rank, and the number of sequences.
+
+    ``grouped`` is 1 where a configuration placed the documents and 0 where best-fit did.
+    """
+    lengths = np.array(sorted(histogram), np.int64)
+    counts = np.array([histogram[n] for n in lengths.tolist()], np.int64)
     runs = _Runs(capacity)
-    large = lengths * SMALL_PART > capacity if groups else lengths < 0
-    rest = dict(zip(lengths[~large].tolist(), counts[~large].tolist(), strict=True))
-    big, many = lengths[large][::-1], counts[large][::-1]
-    if len(big):
-        upto = np.cumsum(many)
-        group = np.minimum((upto - 1) * groups // upto[-1], groups - 1)
-        ids = np.unique(group)
-        sizes = np.array([big[group == g].max() for g in ids])
-        demand = np.array([many[group == g].sum() for g in ids])
-        stock = [[[int(s), int(n)] for s, n in zip(big[group == g], many[group == g], strict=True)][::-1] for g in ids]
-        for a, times in configurations(sizes, demand, capacity):
-            slots = [i for i in range(len(sizes)) for _ in range(a[i])]
-            columns = []
-            for i in slots:  # the next ``times`` documents of the group, largest first
-                got, want = [], times
-                while want:
-                    length, have = stock[i][-1]
-                    take = min(have, want)
-                    got.append((length, take))
-                    want -= take
-                    if take == have:
-                        stock[i].pop()
-                    else:
-                        stock[i][-1][1] -= take
-                columns.append(got)
-            edges = sorted({0, times, *(int(e) for got in columns for e in np.cumsum([t for _, t in got]))})
-            place = [[0, 0] for _ in columns]  # index of the stretch, sequences before it
-            for lo, hi in zip(edges, edges[1:], strict=False):
-                fill = []
-                for k, got in enumerate(columns):
-                    while place[k][1] + got[place[k][0]][1] <= lo:
-                        place[k][1] += got[place[k][0]][1]
-                        place[k][0] += 1
-                    fill.append(got[place[k][0]][0])
-                if capacity - sum(fill) > slack:
-                    for length in fill:
-                        rest[length] = rest.get(length, 0) + hi - lo
-                    continue
-                offset, items = 0, []
-                for length in fill:
-                    items.append((length, runs.ranks(length, hi - lo), 1, offset))
-                    offset += length
-                runs.add(hi - lo, items, capacity - offset)
+    full, large = lengths == capacity, (lengths * SMALL_PART > capacity) & (lengths < capacity)
+    rest = {n: c for n, c in histogram.items() if n * SMALL_PART <= capacity}
+    if full.any():  # each fills a sequence
+        runs.add(int(counts[full][0]), [(capacity, runs.ranks(capacity, int(counts[full][0])), 1, 0)], 0)
+    if large.any():
+        rest |= _grouped(runs, lengths[large], counts[large], groups)
+    placed_by_groups = dict(runs.rank)
     for length, n in sorted(rest.items(), reverse=True):
         runs.best_fit(length, n)
-    return runs
-
-
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, tries: tuple[tuple[int, int], ...] = TRIES) -> tuple[np.ndarray, int]:
-    """Rows (length, first rank, ranks, copies, first sequence, offset) sorted by length and rank, and the number of sequences."""
-    lengths = np.array(sorted(histogram), np.int64)
-    counts = np.array([histogram[n] for n in lengths.tolist()], np.int64)
-    tried = [_plan(lengths, counts, capacity, *t) for t in tries]
-    best = min(tried, key=lambda r: sum(c for level in r.at for c, _ in level))
     rows, sequence = [], 0
-    for level in best.at:
+    for level in runs.at:
         for count, items in level:
-            rows += [(length, rank, count * copies, copies, sequence, offset) for length, rank, copies, offset in items]
+            rows += [(length, rank, count * copies, copies, sequence, offset, int(rank < placed_by_groups.get(length, 0))) for length, rank, copies, offset in items]
             sequence += count
-    return np.array(sorted(rows), np.int64).reshape(-1, 6), sequence
+    return np.array(sorted(rows), np.int64).reshape(-1, 7), sequence
 
 
 def placed(cuts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``cuts`` (doc_id, piece, start, length, ids_crc32) with sequence_id and offset."""
+    """``cuts`` (doc_id, piece, start, length, ids_crc32, nth; a written table) with sequence_id and offset."""
     spark = cuts.sparkSession
     salts = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # full pieces fill a sequence each: they count, but need no planning
-    salted = cuts.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
+    salted = cuts.withColumn("salt", F.pmod("nth", F.lit(salts)))  # by place, not by content: repeated rows are spread too
     cells = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     ahead = F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
     base = cut(cells.select("length", "salt", "n", F.coalesce(ahead, F.lit(0)).alias("base")), "pack-cells")
     histogram = {r["length"]: r["n"] for r in base.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     table, _ = plan(histogram, capacity)
     key = table[:, 0] << 48 | table[:, 1] if len(table) else np.zeros(0, np.int64)
-    row = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32", "start")) - 1
+    row = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32", "nth")) - 1
     ranked = salted.withColumn("row", row).join(base.select("length", "salt", "base"), ["length", "salt"]).withColumn("rank", F.col("base") + F.col("row"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rank, length = b["rank"].to_numpy(np.int64), b["length"].to_numpy(np.int64)
             at = np.searchsorted(key, length << 48 | rank, side="right") - 1
-            t = table[at] if len(b) else np.zeros((0, 6), np.int64)
+            t = table[at] if len(b) else np.zeros((0, 7), np.int64)
             inside = rank - t[:, 1]
             yield b[["doc_id", "piece", "start", "length", "ids_crc32"]].assign(sequence_id=t[:, 4] + inside // np.maximum(t[:, 3], 1), offset=t[:, 5] + inside % np.maximum(t[:, 3], 1) * length)
 

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import need, small_batches
+from .common import need
 
 SPACE = "▁"
 LIMIT = 4096
@@ -121,8 +121,6 @@ def counter(model_path: str) -> PairCounter:
 
 def count_tokens(docs: DataFrame, model_path: str, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for each row; one pass, no shuffle."""
-    small_batches(docs.sparkSession)
-
     @F.pandas_udf("long")
     def tokens(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = counter(model_path)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import encoder
-from .common import cut, need, small_batches
+from .common import bounded, cut, need
 
 MAGIC, END_ID, BLOCK_TOKENS = b"SLT1", 0, 1 << 18
 HEAD = struct.Struct("<4sIII")
@@ -88,7 +88,6 @@ def width(path: str) -> str:
 
 def tokenized(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, crc (of u32 ids), ids (u16 where the vocabulary allows, else u32; the end id last)."""
-    small_batches(docs.sparkSession, 2000)
     kind = width(path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -99,7 +98,7 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
             raw = [x.astype(kind).tobytes() + stop for x in ids]
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n_tokens": [len(x) + 1 for x in ids], "crc": crc, "ids": raw})
 
-    return need(docs, "doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, crc long, ids binary")
+    return need(docs, "doc_id", "text").mapInPandas(bounded(run, "text"), "doc_id long, n_tokens long, crc long, ids binary")
 
 
 def frequencies(tokens: DataFrame, kind: str) -> np.ndarray:
@@ -147,7 +146,6 @@ def write_ids(tokens: DataFrame, by_rank: np.ndarray, kind: str, tag: str = "tok
         if held:
             yield close()
 
-    small_batches(tokens.sparkSession)
     dealt = tokens.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("crc")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "crc")
     return cut(dealt.select("doc_id", "ids").mapInPandas(run, "part int, block int, n_docs int, n_tokens long, ahead long, payload binary"), tag)
 

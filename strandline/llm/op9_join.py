@@ -8,9 +8,10 @@ is one n-gram of all its words. Two texts are linked if their n-gram sets have a
    representative with a number of copies; copies are never expanded.
 2. Representatives shuffle on (band, hash). A bucket is only counted and given its smallest key (pre-aggregated), which yields one
    edge per member, never pairs; components of those edges hold all candidates of a text.
-3. Each component goes, with its texts, to tasks in blocks of bounded rows and characters; a component of k blocks is k * (k + 1) / 2
-   tiles, each of which compares the pairs that share a band there and returns sums, one row per text.
-   Small components share tasks.
+3. A component of one block (bounded rows and characters) goes, with its texts, to one task, which compares the pairs that share a band and
+   returns sums, one row per text. Small components share tasks. Larger components, which bands may have chained from texts that have
+   little in common, are compared bucket by bucket instead: a bucket of k blocks is k * (k + 1) / 2 tiles, a pair counts in the first band
+   that it shares, and buckets with the same members as one of an earlier band are left out.
 4. Verified links give classes (components again) and each document's number of links.
 
 Null texts and texts without a word have no n-gram: they link to nothing and are a class of their own each, with a null class_id only if doc_id
@@ -28,9 +29,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import cut, fresh, light, need, row_key, small_batches
+from .common import bounded, cut, fresh, light, need, row_key
 from .components import connected
 
 GRAM, THRESHOLD, RECALL, MAX_HASHES = 5, 0.8, 0.9995, 110
@@ -110,7 +110,6 @@ def band_hashes(hashes: np.ndarray, counts: np.ndarray, bands: int, rows: int) -
 
 def signed(docs: DataFrame, *keys: str) -> DataFrame:
     """``keys``, doc_id, key (null without a word), n_chars, bands."""
-    small_batches(docs.sparkSession, 500)
     bands, rows = bands_for()
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keys)
 
@@ -125,11 +124,11 @@ def signed(docs: DataFrame, *keys: str) -> DataFrame:
             out["bands"] = [next(got) if n else None for n in counts]
             yield out
 
-    return need(docs, *keys, "text").mapInPandas(run, f"{kinds}, key string, size long, bands array<long>")
+    return need(docs, *keys, "text").mapInPandas(bounded(run, "text", 500), f"{kinds}, key string, size long, bands array<long>")
 
 
-def compare(left: pd.DataFrame, right: pd.DataFrame | None) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs that share a band and pass the threshold, within ``left`` or between it and ``right``."""
+def compare(left: pd.DataFrame, right: pd.DataFrame | None, band: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs that share a band and pass the threshold, within ``left`` or between it and ``right``; only pairs whose first shared band is ``band``, if given (then all share it)."""
     both = left if right is None else pd.concat([left, right], ignore_index=True)
     n, cross = len(left), right is not None
     bands = np.array(both["bands"].to_list(), np.int64).reshape(len(both), -1)
@@ -140,13 +139,17 @@ def compare(left: pd.DataFrame, right: pd.DataFrame | None) -> tuple[np.ndarray,
     codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
     at = np.cumsum(size) - size
     mark = np.zeros(codes.max(initial=-1) + 1, bool)
-    order = [np.argsort(bands[:, b], kind="stable") for b in range(bands.shape[1])]
+    order = [np.argsort(bands[:, b], kind="stable") for b in range(bands.shape[1] if band < 0 else 0)]
     low = [np.searchsorted(bands[o, b], bands[:, b], "left") for b, o in enumerate(order)]
     high = [np.searchsorted(bands[o, b], bands[:, b], "right") for b, o in enumerate(order)]
     one, two = [], []
     for i in range(n):  # each text's candidates at once, each once over all bands
-        near = np.concatenate([o[lo[i] : hi[i]] for o, lo, hi in zip(order, low, high, strict=True) if hi[i] - lo[i] > 1] or [np.zeros(0, np.int64)])
-        near = np.unique(near[near >= n] if cross else near[near > i])
+        if band < 0:
+            near = np.concatenate([o[lo[i] : hi[i]] for o, lo, hi in zip(order, low, high, strict=True) if hi[i] - lo[i] > 1] or [np.zeros(0, np.int64)])
+            near = np.unique(near[near >= n] if cross else near[near > i])
+        else:
+            near = np.arange(n if cross else i + 1, len(both))
+            near = near[~(bands[near, :band] == bands[i, :band]).any(1)]
         near = near[np.minimum(size[near], size[i]) >= THRESHOLD * np.maximum(size[near], size[i])]
         if not len(near):
             continue
@@ -167,14 +170,15 @@ def compare(left: pd.DataFrame, right: pd.DataFrame | None) -> tuple[np.ndarray,
 def tile(pdf: pd.DataFrame) -> pd.DataFrame:
     """One row per linked text of a tile: its links there, weighted by copies, and the smallest key it reaches there."""
     pdf = pdf.sort_values("key", ignore_index=True)
+    band = int(pdf["band"].iloc[0])
     inner = (pdf["ti"] == pdf["tj"]).all()
     if inner:
         both = pdf
-        a, b = compare(both, None)
+        a, b = compare(both, None, band)
     else:
         left, right = pdf[pdf["block"] == pdf["ti"]], pdf[pdf["block"] == pdf["tj"]]
         both = pd.concat([left, right], ignore_index=True)
-        a, b = compare(left.reset_index(drop=True), right.reset_index(drop=True))
+        a, b = compare(left.reset_index(drop=True), right.reset_index(drop=True), band)
     copies = both["copies"].to_numpy(np.int64)
     links = np.zeros(len(both), np.int64)
     np.add.at(links, a, copies[b])
@@ -202,16 +206,24 @@ def linked(docs: DataFrame, tag: str = "join") -> DataFrame:
     edges = cells.join(buckets, ["band", "hash"]).select(F.col("key").alias("a"), "b")
     groups = connected(edges, f"{tag}-near").withColumnRenamed("node", "key")
     spread = reps.join(groups, "key").select("key", "rep", "copies", "bands", "size", F.col("root").alias("comp"))
+    blocks = lambda size: F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(size) / BLOCK_CHARS), F.lit(1)).cast("int")
     # without the edges of one member to itself a component has two texts or more
-    sizes = spread.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("size") / BLOCK_CHARS), F.lit(1)).cast("int").alias("k"), F.sum("size").alias("chars"))
+    sizes = spread.groupBy("comp").agg(blocks("size").alias("k"), F.sum("size").alias("chars"))
     sizes = cut(sizes, f"{tag}-sizes")  # a table of its own, so that a hot component's rows can be split in the join
     total = sizes.where("k = 1").agg(F.coalesce(F.sum("chars"), F.lit(0))).first()[0]
     shared = max(1, math.ceil(total / SHARED_CHARS))
-    home = F.when(F.col("k") == 1, F.concat(F.lit("-"), F.pmod(F.xxhash64("comp"), F.lit(shared)).cast("string"))).otherwise(F.col("comp"))
-    block = F.pmod(F.xxhash64("key", F.lit(7)), F.col("k").cast("long")).cast("int")
-    spread = cut(spread.join(light(sizes, 60), "comp").select("key", "rep", "copies", "bands", home.alias("home"), block.alias("block"), "k"), f"{tag}-spread")
-    texts = keyed.select(F.col(rid).alias("rep"), F.col("text").alias("text")).join(light(spread.select("rep"), 60), "rep").join(spread, "rep").dropDuplicates(["key"])
-    tiles = texts.select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other")).select("key", "copies", "bands", "text", "home", "block", F.least("block", "other").alias("ti"), F.greatest("block", "other").alias("tj"))
+    spread = cut(spread.join(light(sizes, F.length("comp") + 60), "comp"), f"{tag}-spread")
+    home = F.concat(F.lit("-"), F.pmod(F.xxhash64("comp"), F.lit(shared)).cast("string"))
+    small = spread.where("k = 1").select("key", "rep", "copies", "bands", home.alias("home"), F.lit(-1).alias("band"), F.lit(0).alias("block"), "k")
+    within = spread.where("k > 1").select("key", "size", F.posexplode("bands").alias("band", "hash"))
+    members = within.groupBy("band", "hash").agg(F.count("*").alias("n"), blocks("size").alias("k"), F.bit_xor(F.xxhash64("key")).alias("x"), F.sum(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(1 << 31))).alias("y")).where("n > 1")
+    kept = cut(members.groupBy("n", "x", "y").agg(F.min(F.struct("band", "hash", "k")).alias("b")).select("b.*"), f"{tag}-buckets")
+    placed = within.join(light(kept, 40), ["band", "hash"]).select("key", "band", F.concat_ws(":", "band", "hash").alias("home"), F.pmod(F.xxhash64("key", F.lit(7)), F.col("k").cast("long")).cast("int").alias("block"), "k")
+    large = spread.drop("k").join(placed, "key").select("key", "rep", "copies", "bands", "home", "band", "block", "k")
+    spread = cut(small.unionByName(large), f"{tag}-placed")
+    wanted = cut(spread.select("rep").distinct(), f"{tag}-wanted")
+    texts = keyed.select(F.col(rid).alias("rep"), F.col("text").alias("text")).join(light(wanted, F.length("rep") + 40), "rep").dropDuplicates(["rep"]).join(spread, "rep")
+    tiles = texts.select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other")).select("key", "copies", "bands", "text", "home", "band", "block", F.least("block", "other").alias("ti"), F.greatest("block", "other").alias("tj"))
     checked = cut(tiles.groupBy("home", "ti", "tj").applyInPandas(tile, "key string, root string, links long"), f"{tag}-checked")
     classes = connected(checked.select(F.col("key").alias("a"), F.col("root").alias("b")), f"{tag}-class").withColumnRenamed("node", "key")
     links = checked.groupBy("key").agg(F.sum("links").alias("links"))
@@ -229,12 +241,15 @@ def op9_ngram_join(spark, sf_dir) -> DataFrame:
 
 def near_duplicate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class stays: the smallest doc_id (then key). Documents without a word stay, each row of them."""
-    (key, k2, row) = fresh(docs.columns, "rid", "rid2", "row")
+    (key, k2) = fresh(docs.columns, "rid", "rid2")
     rows = cut(linked(docs, "stage").where("class_key IS NOT NULL"), "stage-linked")
     best = rows.groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "rid"))["rid"].alias("rid"))
     gone = cut(rows.select("rid").distinct().join(best, "rid", "left_anti").select(F.col("rid").alias(k2)), "stage-gone")
-    keyed = docs.withColumn(key, row_key(F.col("doc_id"), F.col("text")))
-    left = keyed.join(light(gone, 60), F.col(key) == F.col(k2), "left_anti")
-    wordless = ~F.coalesce(F.col("text"), F.lit("")).rlike("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]")
-    first = F.row_number().over(Window.partitionBy(key).orderBy(key)) == 1
-    return left.withColumn(row, first | wordless).where(F.col(row)).select(*(f"`{c}`" for c in docs.columns))
+    again = rows.join(best, "rid", "left_semi").groupBy("rid").agg(F.count("*").alias("n")).where("n > 1")
+    again = cut(again.select(F.col("rid").alias(k2)), "stage-again")  # rows that stay and stand there more than once
+    wide = F.length(k2) + 40
+    left = docs.withColumn(key, row_key(F.col("doc_id"), F.col("text"))).join(light(gone, wide), F.col(key) == F.col(k2), "left_anti")
+    if not again.isEmpty():
+        few = light(again, wide)
+        left = left.join(few, F.col(key) == F.col(k2), "left_anti").unionByName(left.join(few, F.col(key) == F.col(k2), "left_semi").dropDuplicates([key]))
+    return left.select(*(f"`{c}`" for c in docs.columns))
