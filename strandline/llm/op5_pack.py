@@ -72,16 +72,31 @@ def _knapsack(values: np.ndarray, sizes: np.ndarray, room: int) -> tuple[np.ndar
     return best, took
 
 
+def _inverse(matrix: np.ndarray) -> np.ndarray:
+    """By elimination with row exchanges, in one thread."""
+    m = len(matrix)
+    both = np.hstack([matrix, np.eye(m)])
+    for k in range(m):
+        top = k + int(np.abs(both[k:, k]).argmax())
+        both[[k, top]] = both[[top, k]]
+        both[k] /= both[k, k]
+        factor = both[:, k].copy()
+        factor[k] = 0
+        both -= np.multiply.outer(factor, both[k])
+    return both[:, m:]
+
+
 def configurations(sizes: np.ndarray, demand: np.ndarray, room: int) -> list[tuple[np.ndarray, int]]:
     """(copies of each size, times): the whole part of the linear program's optimum, whose copies meet no more than the demand.
 
     Column generation: one row a size; the knapsack prices, for each size, the best configuration that holds it, and the simplex
-    takes from that pool until none is worth more than a sequence by ``TOLERANCE``.
+    takes from that pool until none is worth more than a sequence by ``TOLERANCE``. Products are plain sums: at this size a threaded
+    library's threads would mostly wait for cores that Spark's tasks hold.
     """
     m = len(sizes)
     basis = np.diag((room // sizes).astype(float))
     inverse = np.diag(1 / np.diag(basis))
-    x = inverse @ demand
+    x = (inverse * demand).sum(1)
     for turn in range(PRICINGS):
         best, took = _knapsack(inverse.sum(0), sizes, room)
         if best[room] <= 1 + TOLERANCE:
@@ -94,11 +109,11 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, room: int) -> list[tup
                 at -= int(sizes[took[at]])
         pool = np.unique(pool, axis=0).astype(float)
         for _ in range(3 * m):
-            worth = pool @ inverse.sum(0)
+            worth = (pool * inverse.sum(0)).sum(1)
             j = int(worth.argmax())
             if worth[j] <= 1 + TOLERANCE / 2:
                 break
-            step = inverse @ pool[j]
+            step = (inverse * pool[j]).sum(1)
             up = step > 1e-9
             ratio = np.where(up, x / np.where(up, step, 1), np.inf)
             out = int(ratio.argmin())
@@ -109,8 +124,8 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, room: int) -> list[tup
             inverse = inverse - np.outer(step, row)
             inverse[out] = row
         if turn % 10 == 9:  # against the drift of the updates
-            inverse = np.linalg.inv(basis)
-            x = np.maximum(inverse @ demand, 0)
+            inverse = _inverse(basis)
+            x = np.maximum((inverse * demand).sum(1), 0)
     left, found = demand.astype(np.int64).copy(), []
     for j in np.argsort(-x, kind="stable"):
         a = np.rint(basis[:, j]).astype(np.int64)

@@ -377,4 +377,4 @@ def test_pipeline_of_odd_rows(spark, odd_dir):
     import corpus_pipeline
 
     rows = corpus_pipeline.run(spark, odd_dir).collect()
-    assert {r["doc_id"] for r in rows} == {*range(1, 13), 40} - {5}  # 5 holds items of the benchmark; 30 and 31 are copies, and so is what has no doc_id
+    assert {r["doc_id"] for r in rows} == {*range(1, 13), 31, 40} - {5}  # 5 holds items of the benchmark; 30 is a copy, and so is what has no doc_id; of 31 the line with one more word is left
