@@ -79,19 +79,25 @@ def degrees(edges: DataFrame) -> DataFrame:
     return related(edges).groupBy("node").agg(F.count("*").alias("degree"))
 
 
-def shared_neighbours(edges: DataFrame, least: int = 2) -> DataFrame:
-    """(a, b, shared, jaccard) of pairs with ``least`` common positive neighbours, each pair once, without what they are to each other.
+def shared_neighbours(edges: DataFrame, least: int = 2, also: DataFrame | None = None) -> DataFrame:
+    """(a, b, shared, jaccard) of pairs with ``least`` common positive neighbours, and of the pairs ``also`` (a, b) with one, each pair once, without what they are to each other.
 
-    Pairs arise by the common neighbour alone; counts are pre-aggregated before the shuffle.
+    Two nodes with ``least`` common neighbours still share one if each leaves out its ``least - 1`` busiest neighbours, so pairs arise from the
+    others alone: the hub that most nodes know gives none. Their neighbour sets are then compared whole.
     """
     nbr = cut(related(edges, POSITIVE), "positive")
-    deg = nbr.groupBy("node").agg(F.count("*").alias("deg"))
-    x, y = nbr.select(F.col("node").alias("a"), "nbr"), nbr.select(F.col("node").alias("b"), "nbr")
-    pairs = x.join(y, "nbr").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
-    direct = nbr.select(F.col("node").alias("a"), F.col("nbr").alias("b"), F.lit(1).alias("direct"))
-    d1, d2 = deg.select(F.col("node").alias("a"), F.col("deg").alias("da")), deg.select(F.col("node").alias("b"), F.col("deg").alias("db"))
-    full = pairs.join(d1, "a").join(d2, "b").join(direct, ["a", "b"], "left").withColumn("direct", F.coalesce("direct", F.lit(0)))
-    return full.select("a", "b", "shared", (F.col("shared") / (F.col("da") + F.col("db") - 2 * F.col("direct") - F.col("shared"))).alias("jaccard"))
+    sets = cut(nbr.groupBy("node").agg(F.collect_set("nbr").alias("ns"), F.count("*").alias("deg")), "neighbour-sets")
+    busy = nbr.join(sets.select(F.col("node").alias("nbr"), "deg"), "nbr")
+    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("deg"), "nbr"))
+    few = cut(busy.withColumn("r", rank).where(F.col("r") >= least).select("node", "nbr"), "rarer-neighbours")
+    pairs = few.withColumnRenamed("node", "a").join(few.withColumnRenamed("node", "b"), "nbr").where("a < b").select("a", "b").distinct()
+    if also is not None:
+        pairs = pairs.withColumn("own", F.lit(False)).unionByName(also.select("a", "b").where("a < b").withColumn("own", F.lit(True))).groupBy("a", "b").agg(F.bool_or("own").alias("own"))
+    else:
+        pairs = pairs.withColumn("own", F.lit(False))
+    one, two = sets.select(F.col("node").alias("a"), F.col("ns").alias("na")), sets.select(F.col("node").alias("b"), F.col("ns").alias("nb"))
+    both = pairs.join(one, "a").join(two, "b").selectExpr("a", "b", "own", "cast(size(array_intersect(na, nb)) AS bigint) AS shared", "size(na) + size(nb) - 2 * int(array_contains(na, b)) AS all")
+    return both.where((F.col("shared") >= least) | F.col("own") & (F.col("shared") > 0)).select("a", "b", "shared", (F.col("shared") / (F.col("all") - F.col("shared"))).alias("jaccard"))
 
 
 def pair_summaries(edges: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ def candidates(segments: DataFrame, key_tokens: int = 2, kept: int = KEPT) -> Da
     """The offline provider: the first ``kept`` sentences of a segment that have two label tokens.
 
     key: slug of the first ``key_tokens`` tokens; type: question or thesis by its last mark; target: the next candidate's key, related by a
-    type drawn from the two lengths. A model may stand in for this with the same columns.
+    type drawn from the two lengths; summary: the claim and the next one. A model may stand in for this with the same columns.
     """
     # tokens are made once a sentence and travel with it
     sentences = F.transform(F.split("text", r"(?<=[.?!])\s+"), lambda s: F.struct(T.js_trim(s).alias("claim"), T.tokens(s).alias("tok")))
@@ -31,7 +31,7 @@ def candidates(segments: DataFrame, key_tokens: int = 2, kept: int = KEPT) -> Da
     w = Window.partitionBy("segment_id").orderBy("ord")
     kind = F.element_at(F.array(*map(F.lit, DRAWN)), ((F.length("claim") + F.length(F.lead("claim").over(w))) % 6 + 1).cast("int"))
     target = F.lead("canonical_key").over(w)
-    return out.select("*", F.when(target != F.col("canonical_key"), target).alias("target_key"), F.when(target != F.col("canonical_key"), kind).alias("relation")).withColumn("candidate_id", F.concat_ws(":", "segment_id", F.col("ord").cast("string")))
+    return out.select("*", F.when(target != F.col("canonical_key"), target).alias("target_key"), F.when(target != F.col("canonical_key"), kind).alias("relation")).withColumn("candidate_id", F.concat_ws(":", "segment_id", F.col("ord").cast("string"))).withColumn("summary", F.concat_ws(" ", "claim", F.lead("claim").over(w)))
 
 
 def mergeable_pairs(rows: DataFrame) -> DataFrame:
@@ -138,6 +138,31 @@ def best_value(df: DataFrame, by: str, value: str, order: str) -> DataFrame:
     return per.groupBy(by).agg(F.min_by(value, F.struct((-F.col("n")).alias("n"), "o", value)).alias(value))
 
 
+def identities(nodes: DataFrame, cands: DataFrame) -> DataFrame:
+    """(key, root) of every key of ``nodes``: one identity where a pair may be merged and no relation that a candidate draws stands between the groups."""
+    rows = nodes.select(F.col("canonical_key").alias("id"), F.col("canonical_key").alias("key"), "title", "summary", F.col("title").alias("claim"), "node_type")
+    vetoes = cands.where("target_key IS NOT NULL").select(F.col("canonical_key").alias("a"), F.col("target_key").alias("b")).distinct()
+    return resolve(rows, mergeable_pairs(rows), vetoes)
+
+
+def resolved(cands: DataFrame, roots: DataFrame) -> DataFrame:
+    """``cands`` under their identities' keys: of a group's keys the one with most candidates, then the first candidate's. Targets follow; relations inside
+    an identity go. ``alias`` keeps the key that a candidate came with."""
+    keyed = cands.select("canonical_key", "candidate_id").join(roots, F.col("canonical_key") == F.col("key")).select("root", "canonical_key", "candidate_id")
+    named = best_value(keyed, "root", "canonical_key", "candidate_id").withColumnRenamed("canonical_key", "best")
+    to = cut(roots.join(named, "root").select("key", "best"), "identities")
+    target = to.select(F.col("key").alias("target_key"), F.col("best").alias("target"))
+    rows = cands.join(to, F.col("canonical_key") == F.col("key")).join(target, "target_key", "left")
+    outside = F.coalesce("target", "target_key") != F.col("best")
+    own = {"canonical_key": F.col("best"), "target_key": F.when(outside, F.coalesce("target", "target_key")), "relation": F.when(outside, F.col("relation"))}
+    return rows.select(*(own.get(c, F.col(c)).alias(c) for c in cands.columns), F.col("canonical_key").alias("alias"))
+
+
+def aliases(rows: DataFrame) -> DataFrame:
+    """canonical_key, aliases: the sorted keys that ``resolved`` rows came with."""
+    return rows.groupBy("canonical_key").agg(F.sort_array(F.collect_set("alias")).alias("aliases"))
+
+
 def claims(cands: DataFrame, timeline: DataFrame) -> DataFrame:
     """Candidates with their node's key, numbered within it in time order (time with nulls last, chronology, id)."""
     rows = cands.join(timeline.select("segment_id", "chronology_index", "time_unix"), "segment_id")
@@ -147,11 +172,11 @@ def claims(cands: DataFrame, timeline: DataFrame) -> DataFrame:
 
 
 def states(claimed: DataFrame) -> DataFrame:
-    """Each claim's state number: a new one where the status changes or the claim differs from the one before (Jaccard below .55)."""
+    """Each claim's state number: a new one where the status changes, or where claim and summary both differ from those before (Jaccard below .55 and .6)."""
     w = Window.partitionBy("canonical_key").orderBy("claim_no")
-    t = claimed.withColumn("tok", T.tokens(F.col("claim")))
-    new = F.lag("claim_no").over(w).isNull() | (F.lag("status").over(w) != F.col("status")) | (T.jaccard(F.lag("tok").over(w), F.col("tok")) < 0.55)
-    return t.withColumn("new", new.cast("long")).withColumn("state_no", F.sum("new").over(w)).drop("tok", "new")
+    t = claimed.withColumn("tok", T.tokens(F.col("claim"))).withColumn("stok", T.tokens(F.col("summary")))
+    new = F.lag("claim_no").over(w).isNull() | (F.lag("status").over(w) != F.col("status")) | ((T.jaccard(F.lag("tok").over(w), F.col("tok")) < 0.55) & (T.jaccard(F.lag("stok").over(w), F.col("stok")) < 0.6))
+    return t.withColumn("new", new.cast("long")).withColumn("state_no", F.sum("new").over(w)).drop("tok", "stok", "new")
 
 
 def worldlines(stated: DataFrame) -> DataFrame:

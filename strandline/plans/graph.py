@@ -62,6 +62,40 @@ def identity_blocks(spark, sf_dir):
     return resolve.resolve(rows, resolve.mergeable_pairs(rows), vetoes)
 
 
+def _resolved(spark, sf_dir):
+    """Candidates of resolved identities, their claims and nodes."""
+    segments = _segments(spark, sf_dir)
+    c = _cands(spark, sf_dir, segments)
+    timeline = cut(corpus.timeline(segments.drop("text")), "timeline")
+    n = cut(resolve.nodes(resolve.claims(c, timeline)), "nodes")
+    r = cut(resolve.resolved(c, resolve.identities(n, c)), "resolved")
+    return r, cut(resolve.claims(r, timeline), "resolved-claims")
+
+
+def alias_keys(spark, sf_dir):
+    """Which key every candidate key became."""
+    r, _ = _resolved(spark, sf_dir)
+    return r.select(F.col("alias").alias("key"), "canonical_key").distinct()
+
+
+def resolved_nodes(spark, sf_dir):
+    """Nodes after identity resolution, with the keys and titles that lead to them."""
+    r, c = _resolved(spark, sf_dir)
+    n = resolve.nodes(c).join(resolve.aliases(r), "canonical_key")
+    return n.select("node_id", "node_type", "status", "n_claims", "n_documents", "first_seen", "last_seen", F.md5("title").alias("title_md5"), F.size("aliases").cast("long").alias("n_aliases"), F.md5(F.array_join("aliases", "\n")).alias("aliases_md5"))
+
+
+def resolved_edges(spark, sf_dir):
+    r, _ = _resolved(spark, sf_dir)
+    return resolve.edges(r).select("edge_id", "type", "src", "dst", "weight", F.size("segments").cast("long").alias("n_segments"))
+
+
+def refined_graph(spark, sf_dir):
+    """Where accepted reviews, applied until none is left, put every node."""
+    c, n, e = _graph(spark, sf_dir)
+    return families.refine(n.withColumn("aliases", F.array("title")), e, _docs(spark, sf_dir, c), passes=16)[2]
+
+
 def claims(spark, sf_dir):
     return _claims(spark, sf_dir).select("claim_id", "canonical_key", "claim_no", "candidate_id", "chronology_index", "status")
 
@@ -184,9 +218,10 @@ def node_salience(spark, sf_dir):
 
 
 def representatives(spark, sf_dir):
-    """360 conversation nodes, source-diverse."""
-    a = _assessed(spark, sf_dir).where("authority = 'conversation'")
-    return salience.representatives(a)
+    """A quarter of all nodes (900 at least, and never fewer than the authored ones), source-diverse."""
+    a = cut(_assessed(spark, sf_dir), "assessed")
+    n = a.agg(F.count("*").alias("all"), F.count_if(F.col("authority").isin("authored", "mixed")).alias("authored")).first()
+    return salience.representatives(a, max(salience.size_cap(n["all"]), n["authored"]))
 
 
 def _groups(spark, sf_dir):
@@ -246,12 +281,12 @@ base.CTES |= {
     "sent": (("segments",), f"SELECT segment_id, document_id, source_kind, sequence_index, list_slice(list_filter(string_split(regexp_replace(text, '([.?!])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: len({_tok('s')}) >= 2), 1, 3) AS ss FROM segments WHERE signal_kind = 'primary' AND source_kind <> 'chat'"),
     "cand0": (("sent",), f"SELECT *, array_to_string(list_slice({_tok('claim')}, 1, 2), '-') AS canonical_key FROM (SELECT segment_id, document_id, source_kind, sequence_index, trim(unnest(ss)) AS claim, generate_subscripts(ss, 1) - 1 AS ord FROM sent)"),
     "cand": (("cand0",), """SELECT segment_id || ':' || ord AS candidate_id, segment_id, document_id, source_kind, ord, claim, canonical_key, CASE WHEN ends_with(claim, '?') THEN 'question' ELSE 'thesis' END AS node_type, CASE WHEN length(claim) % 5 = 0 THEN 'tentative' ELSE 'active' END AS status,
-CASE WHEN lead(canonical_key) OVER w <> canonical_key THEN lead(canonical_key) OVER w END AS target_key, CASE WHEN lead(canonical_key) OVER w <> canonical_key THEN ['supports', 'revises', 'supersedes', 'tensions_with', 'context_split', 'semantic_related'][(length(claim) + length(lead(claim) OVER w)) % 6 + 1] END AS relation FROM cand0 WINDOW w AS (PARTITION BY segment_id ORDER BY ord)"""),
+CASE WHEN lead(canonical_key) OVER w <> canonical_key THEN lead(canonical_key) OVER w END AS target_key, claim || coalesce(' ' || lead(claim) OVER w, '') AS summary, CASE WHEN lead(canonical_key) OVER w <> canonical_key THEN ['supports', 'revises', 'supersedes', 'tensions_with', 'context_split', 'semantic_related'][(length(claim) + length(lead(claim) OVER w)) % 6 + 1] END AS relation FROM cand0 WINDOW w AS (PARTITION BY segment_id ORDER BY ord)"""),
     "tl": (("segments",), "SELECT segment_id, time_unix, row_number() OVER (ORDER BY time_unix NULLS LAST, document_id, sequence_index, segment_id) AS chronology_index FROM segments"),
     "claim": (("cand", "tl"), "SELECT *, 'claim:' || canonical_key || ':' || lpad(claim_no::VARCHAR, 4, '0') AS claim_id FROM (SELECT cand.*, time_unix, chronology_index, row_number() OVER (PARTITION BY canonical_key ORDER BY time_unix NULLS LAST, chronology_index, candidate_id) AS claim_no FROM cand JOIN tl USING (segment_id))"),
-    "ct": (("claim",), f"SELECT *, {_tok('claim')} AS tok FROM claim"),
-    "cl": (("ct",), "SELECT *, lag(tok) OVER w AS ptok, lag(status) OVER w AS pstatus FROM ct WINDOW w AS (PARTITION BY canonical_key ORDER BY claim_no)"),
-    "state": (("cl",), f"SELECT *, sum(CASE WHEN pstatus IS NULL OR pstatus <> status OR {base.jaccard_sql('ptok', 'tok')} < 0.55 THEN 1 ELSE 0 END) OVER (PARTITION BY canonical_key ORDER BY claim_no)::BIGINT AS state_no FROM cl"),
+    "ct": (("claim",), f"SELECT *, {_tok('claim')} AS tok, {_tok('summary')} AS stok FROM claim"),
+    "cl": (("ct",), "SELECT *, lag(tok) OVER w AS ptok, lag(stok) OVER w AS pstok, lag(status) OVER w AS pstatus FROM ct WINDOW w AS (PARTITION BY canonical_key ORDER BY claim_no)"),
+    "state": (("cl",), f"SELECT *, sum(CASE WHEN pstatus IS NULL OR pstatus <> status OR ({base.jaccard_sql('ptok', 'tok')} < 0.55 AND {base.jaccard_sql('pstok', 'stok')} < 0.6) THEN 1 ELSE 0 END) OVER (PARTITION BY canonical_key ORDER BY claim_no)::BIGINT AS state_no FROM cl"),
     "best": (("claim",), "SELECT canonical_key, arg_min(node_type, (-tn, tf)) AS node_type, arg_min(status, (-sn, sfirst)) AS status FROM (SELECT canonical_key, node_type, status, count(*) OVER (PARTITION BY canonical_key, node_type) AS tn, min(claim_no) OVER (PARTITION BY canonical_key, node_type) AS tf, count(*) OVER (PARTITION BY canonical_key, status) AS sn, min(claim_no) OVER (PARTITION BY canonical_key, status) AS sfirst FROM claim) GROUP BY canonical_key"),
     "node": (("claim", "best"), "SELECT 'thought:' || canonical_key AS node_id, canonical_key, any_value(best.node_type) AS node_type, any_value(best.status) AS status, count(*) AS n_claims, count(DISTINCT document_id) AS n_documents, count(*) FILTER (source_kind = 'writing') AS n_writing, count(*) FILTER (source_kind = 'conversation') AS n_conversation, count(*) FILTER (source_kind = 'chat') AS n_chat, min(time_unix) AS first_seen, max(time_unix) AS last_seen, arg_min(claim, claim_no) AS title, arg_max(claim, claim_no) AS summary FROM claim JOIN best USING (canonical_key) GROUP BY canonical_key"),
     "keys": (("cand",), "SELECT DISTINCT segment_id, canonical_key AS s FROM cand"),
@@ -282,7 +317,7 @@ _cc = lambda q: base.sql("\n" + q, "node", "nbr").replace("WITH ", "WITH RECURSI
 QUERIES = {
     f.__name__: f
     for f in (
-        candidate_claims, identity_pairs, identity_blocks, claims, node_states, worldlines, nodes_agg, edges_agg, cooccurrence_edges, related_nodes, degree_hubs, connected_components, component_shape, shared_neighbors,
+        candidate_claims, identity_pairs, identity_blocks, alias_keys, resolved_nodes, resolved_edges, refined_graph, claims, node_states, worldlines, nodes_agg, edges_agg, cooccurrence_edges, related_nodes, degree_hubs, connected_components, component_shape, shared_neighbors,
         pair_weights, family_pairs, family_clusters, consolidated_families, contracted_edges, reciprocal_edges, strongest_neighbor, near_duplicate_titles, summary_pairs, review_candidates, distinct_titles,
         node_salience, representatives, constellations, group_overlaps, label_propagation, coverage_repair, atlas_drift, membership_chunks, top_groups_by_document, type_counts,
     )
@@ -318,7 +353,7 @@ JOIN (SELECT 'writing:' || doc_id AS id, list_filter(list_distinct(string_split(
     "summary_pairs": base.sql(f"""SELECT a, b, round(inter / (na + nb - inter)::DOUBLE, 6) AS score FROM (SELECT x.node_id AS a, y.node_id AS b, any_value(x.n) AS na, any_value(y.n) AS nb, count(*) AS inter FROM st x JOIN st y ON x.t = y.t AND x.node_type = y.node_type AND x.node_id < y.node_id GROUP BY 1, 2) WHERE inter / (na + nb - inter)::DOUBLE >= 0.72""", "node").replace("\nSELECT a, b, round", f", st AS (SELECT node_id, node_type, len(s) AS n, unnest(s) AS t FROM (SELECT node_id, node_type, list_distinct({_tok('summary', FSTOP)}) AS s FROM node) WHERE len(s) >= 5)\nSELECT a, b, round", 1),
     "node_salience": base.sql("SELECT node_id, authority, n AS n_documents, degree, salience FROM sal", "sal"),
     "group_overlaps": base.sql("SELECT a, b, shared, round(shared / (na.n + nb.n - shared)::DOUBLE, 6) AS jaccard FROM (SELECT x.group_id AS a, y.group_id AS b, count(*) AS shared FROM grp x JOIN grp y ON x.node_id = y.node_id AND x.group_id < y.group_id GROUP BY 1, 2) JOIN (SELECT group_id, count(*) AS n FROM grp GROUP BY 1) na ON na.group_id = a JOIN (SELECT group_id, count(*) AS n FROM grp GROUP BY 1) nb ON nb.group_id = b WHERE shared / (na.n + nb.n - shared)::DOUBLE > 0.35", "grp"),
-    "constellations": base.sql("""SELECT group_id, 'macro:' || substr(sha256(string_agg(node_id, chr(10) ORDER BY node_id)), 1, 10) AS stable_id, count(*) AS n_members, round(avg(salience), 4) AS mean_salience, CASE WHEN bool_or(authority = 'mixed') OR (bool_or(authority = 'authored') AND bool_or(authority = 'conversation')) THEN 'mixed' WHEN bool_or(authority = 'authored') THEN 'authored' ELSE 'conversation' END AS authority, len(list_distinct(flatten(list(ids))))::BIGINT AS n_documents FROM grp JOIN sal USING (node_id) GROUP BY group_id""", "grp", "sal"),
+    "constellations": base.sql("""SELECT group_id, 'macro:' || substr(sha256(string_agg(node_id, chr(10) ORDER BY node_id)), 1, 10) AS stable_id, count(*) AS n_members, round(sum(round(salience * 10)::BIGINT)::DOUBLE / (10 * count(*)), 4) AS mean_salience, CASE WHEN bool_or(authority = 'mixed') OR (bool_or(authority = 'authored') AND bool_or(authority = 'conversation')) THEN 'mixed' WHEN bool_or(authority = 'authored') THEN 'authored' ELSE 'conversation' END AS authority, len(list_distinct(flatten(list(ids))))::BIGINT AS n_documents FROM grp JOIN sal USING (node_id) GROUP BY group_id""", "grp", "sal"),
     "coverage_repair": base.sql("""SELECT node_id, group_id, votes FROM (SELECT node AS node_id, group_id, n AS votes, row_number() OVER w AS r, coalesce(lead(n) OVER w, 0) AS nx FROM (SELECT nbr.node, substr(x.canonical_key, 1, 1) AS group_id, count(*) AS n FROM nbr JOIN node m ON m.node_id = nbr.node AND length(m.canonical_key) % 2 = 1 JOIN node x ON x.node_id = nbr.nbr AND length(x.canonical_key) % 2 = 0 GROUP BY 1, 2) WINDOW w AS (PARTITION BY node ORDER BY n DESC, group_id)) WHERE r = 1 AND votes >= 2 AND votes > nx""", "nbr", "node"),
     "atlas_drift": base.sql("SELECT count(*) AS n_current, count(*) FILTER (n_claims > 1) AS n_previous, count(*) FILTER (n_claims > 1) AS n_shared, round(1 - count(*) FILTER (n_claims > 1) / greatest(1, count(*))::DOUBLE, 6) AS drift FROM node", "node"),
     "membership_chunks": base.sql("SELECT node_id, p AS place, (p - 1) // 48 AS chunk_no, 'batch-' || lpad(((p - 1) // 48 + 1)::VARCHAR, 4, '0') AS chunk_id FROM (SELECT node_id, row_number() OVER (ORDER BY first_seen NULLS LAST, node_id) AS p FROM node)", "node"),

@@ -123,7 +123,7 @@ def content_payloads(spark, sf_dir):
 
 
 def local_context(spark, sf_dir):
-    n = corpus.neighbours(base.segments(spark, sf_dir), 120)
+    n = corpus.neighbours(base.segments(spark, sf_dir))
     return n.select("segment_id", F.md5("before").alias("before_md5"), F.length("before").cast("long").alias("n_before"), F.md5("after").alias("after_md5"), F.length("after").cast("long").alias("n_after"))
 
 
@@ -135,13 +135,13 @@ def evidence_context(spark, sf_dir):
 def greedy_batches(spark, sf_dir):
     """Batches within each document, so that long corpora fold in parallel."""
     rows = batching.items(base.segments(spark, sf_dir).where("signal_kind = 'primary'"))
-    return batching.batches(rows, ["document_id"], "sequence_index", 8, 1000).select("document_id", "sequence_index", "tokens", "batch_no")
+    return batching.batches(rows, ["document_id"], "sequence_index").select("document_id", "sequence_index", "tokens", "batch_no")
 
 
 def batch_density(spark, sf_dir):
     """Per document and batch: items, tokens, and items of 220 characters or more."""
     segs = batching.items(base.segments(spark, sf_dir).where("signal_kind = 'primary'"))
-    b = batching.batches(segs, ["document_id"], "sequence_index", 8, 1000)
+    b = batching.batches(segs, ["document_id"], "sequence_index")
     long_ = segs.select("document_id", "sequence_index", (F.length("text") >= 220).alias("long_text"))
     return b.join(long_, ["document_id", "sequence_index"]).groupBy("document_id", "batch_no").agg(F.count("*").alias("n_items"), F.sum("tokens").alias("tokens"), F.count_if("long_text").alias("n_long"))
 
@@ -174,7 +174,7 @@ FOCUS = """, f AS (SELECT g, ord AS focus_ord FROM items WHERE focus), r AS (SEL
 k AS (SELECT g, ord, min({'focus_ord': focus_ord, 'side': side}) AS m FROM r GROUP BY g, ord),
 o AS (SELECT g, ord, ord AS focus_ord, 0 AS side FROM items WHERE focus UNION ALL SELECT items.g, items.ord, m.focus_ord, m.side FROM items JOIN k ON items.g = k.g AND items.ord = k.ord WHERE ctx AND NOT focus)
 SELECT g AS %s, row_number() OVER (PARTITION BY g ORDER BY focus_ord, side, ord) AS pos, ord, side, focus_ord FROM o"""
-BATCHED = "RECURSIVE it AS (SELECT document_id, sequence_index, row_number() OVER (PARTITION BY document_id ORDER BY sequence_index) AS i, greatest(1, ceil(length(text) / 4.0))::BIGINT + 40 AS tokens, length(text) >= 220 AS long_text FROM segments WHERE signal_kind = 'primary'), b AS (SELECT document_id, sequence_index, i, tokens, long_text, 0::BIGINT AS batch_no, 1 AS cnt, tokens AS used FROM it WHERE i = 1 UNION ALL SELECT it.document_id, it.sequence_index, it.i, it.tokens, it.long_text, CASE WHEN cnt >= 8 OR used + it.tokens > 1000 THEN batch_no + 1 ELSE batch_no END, CASE WHEN cnt >= 8 OR used + it.tokens > 1000 THEN 1 ELSE cnt + 1 END, CASE WHEN cnt >= 8 OR used + it.tokens > 1000 THEN it.tokens ELSE used + it.tokens END FROM b JOIN it ON b.document_id = it.document_id AND b.i + 1 = it.i)"
+BATCHED = "RECURSIVE it AS (SELECT document_id, sequence_index, row_number() OVER (PARTITION BY document_id ORDER BY sequence_index) AS i, greatest(1, ceil(length(text) / 4.0))::BIGINT + 40 AS tokens, length(text) >= 220 AS long_text FROM segments WHERE signal_kind = 'primary'), b AS (SELECT document_id, sequence_index, i, tokens, long_text, 0::BIGINT AS batch_no, 1 AS cnt, tokens AS used FROM it WHERE i = 1 UNION ALL SELECT it.document_id, it.sequence_index, it.i, it.tokens, it.long_text, CASE WHEN cnt >= 32 OR used + it.tokens > 8000 THEN batch_no + 1 ELSE batch_no END, CASE WHEN cnt >= 32 OR used + it.tokens > 8000 THEN 1 ELSE cnt + 1 END, CASE WHEN cnt >= 32 OR used + it.tokens > 8000 THEN it.tokens ELSE used + it.tokens END FROM b JOIN it ON b.document_id = it.document_id AND b.i + 1 = it.i)"
 _batched = lambda q: base.sql("", "segments").replace("WITH ", "WITH RECURSIVE ", 1) + ", " + BATCHED.removeprefix("RECURSIVE ") + "\n" + q
 _hits = lambda x, words: " + ".join(f"len(regexp_extract_all({x}, '\\b(?:{w.replace('*', '[A-Za-z0-9_]*')})\\b'))" for w in words)
 _ordtext = "string_agg(text, chr(10) || chr(10) ORDER BY sequence_index)"
@@ -239,7 +239,7 @@ SELECT 'conversation:' || conv_id AS conversation_id, a::INT AS system_hits, b::
     "active_chain": """WITH n AS (SELECT conv_id, 'n' || turn AS id, turn AS t FROM conversations UNION ALL SELECT conv_id, 'd' || turn, turn FROM conversations WHERE turn % 3 = 1)
 SELECT conv_id AS conversation_id, turn AS ord, 'n' || turn AS node_id FROM conversations WHERE conv_id % 5 <> 0 UNION ALL SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY t, id) - 1, id FROM n WHERE conv_id % 5 = 0""",
     "content_payloads": "SELECT 'conversation:' || conv_id AS conversation_id, turn AS ord, md5(CASE turn % 4 WHEN 2 THEN text || chr(10) || chr(10) || 'sum' WHEN 3 THEN 'title' || chr(10) || text ELSE text END) AS text_md5 FROM conversations",
-    "local_context": base.sql("""SELECT segment_id, md5(b) AS before_md5, length(b)::BIGINT AS n_before, md5(a) AS after_md5, length(a)::BIGINT AS n_after FROM (SELECT segment_id, CASE WHEN length(p) <= 120 THEN p ELSE '[...]' || chr(10) || right(p, 120) END AS b, CASE WHEN length(q) <= 120 THEN q ELSE left(q, 120) || chr(10) || '[...]' END AS a
+    "local_context": base.sql("""SELECT segment_id, md5(b) AS before_md5, length(b)::BIGINT AS n_before, md5(a) AS after_md5, length(a)::BIGINT AS n_after FROM (SELECT segment_id, CASE WHEN length(p) <= 2000 THEN p ELSE '[...]' || chr(10) || right(p, 2000) END AS b, CASE WHEN length(q) <= 2000 THEN q ELSE left(q, 2000) || chr(10) || '[...]' END AS a
 FROM (SELECT segment_id, lag(text) OVER w AS p, lead(text) OVER w AS q FROM segments WHERE signal_kind = 'primary' WINDOW w AS (PARTITION BY document_id ORDER BY sequence_index)))""", "segments"),
     "evidence_context": base.sql("SELECT segment_id, array_to_string(list_sort(places), ',') AS places, (size + len(places) - 1)::BIGINT AS n_evidence FROM t6", "segments").replace("\nSELECT segment_id, array_to_string(list_sort(places)", ", " + _STEPS + "\nSELECT segment_id, array_to_string(list_sort(places)", 1),
     "greedy_batches": _batched("SELECT document_id, sequence_index, tokens, batch_no FROM b"),
