@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from ..functions import text as T
 from ..operators import audit, frames, incremental, resolve, retrieval
 from ..streaming import events as S
-from . import base, graph
+from . import base, graph, ingest
 
 
 def _chunks(spark, sf_dir):
@@ -216,9 +216,8 @@ def density_audit(spark, sf_dir):
 
 
 def turn_audit(spark, sf_dir):
-    """The 20 longest turns."""
-    t = base.turns(spark, sf_dir).select("conversation_id", "ord", "role", F.length("text").cast("long").alias("n_chars"))
-    return t.orderBy(F.desc("n_chars"), "conversation_id", "ord").limit(20)
+    """The 20 longest turns that the sanitiser keeps, whole or trimmed, by what is kept."""
+    return ingest.turn_sanitize(spark, sf_dir).where("action <> 'drop'").orderBy(F.desc("n_clean"), "id").limit(20).select("id", "action", "n_clean")
 
 
 def frame_audit(spark, sf_dir):
@@ -327,7 +326,7 @@ SELECT id AS frame_id, cc.comp AS family, count(*) OVER (PARTITION BY cc.comp) A
     "one_off_nodes": base.sql("SELECT node_id FROM node WHERE n_conversation > 0 AND n_writing = 0 AND n_chat = 0 AND n_documents = 1", "node"),
     "state_proliferation": base.sql(f"""SELECT canonical_key, n_claims, n_states FROM (SELECT canonical_key, count(*) AS n_claims, count(DISTINCT state_no) AS n_states, bool_or(coalesce({base.jaccard_sql('tk', 'nx', 0.0)} >= 0.75, false)) AS al FROM (SELECT *, lead(tk) OVER (PARTITION BY canonical_key ORDER BY claim_no) AS nx FROM (SELECT canonical_key, claim_no, state_no, list_distinct(list_filter(string_split({base.slug_sql('claim')}, '-'), lambda t: length(t) >= 2)) AS tk FROM state)) GROUP BY 1) WHERE n_claims >= 2 AND n_states >= 2 AND n_states >= n_claims AND al""", "state"),
     "density_audit": base.sql("SELECT document_id, count(*) AS n_long, round(avg(c), 6) AS mean, count(*) < 3 OR avg(c) >= 1.5 AS passes FROM (SELECT s.document_id, s.segment_id, count(cand.segment_id) AS c FROM segments s LEFT JOIN cand ON s.segment_id = cand.segment_id WHERE s.signal_kind = 'primary' AND s.source_kind <> 'chat' AND length(s.text) >= 220 GROUP BY 1, 2) GROUP BY 1", "cand"),
-    "turn_audit": "SELECT 'conversation:' || conv_id AS conversation_id, turn AS ord, role, length(text)::BIGINT AS n_chars FROM conversations ORDER BY n_chars DESC, conversation_id, turn LIMIT 20",
+    "turn_audit": "SELECT id, action, n_clean FROM (" + ingest.SANITIZE + ") WHERE action <> 'drop' ORDER BY n_clean DESC, id LIMIT 20",
     "frame_audit": base.sql("""SELECT code, count(*) AS n_issues, count(DISTINCT id) AS n_ids FROM (SELECT 'frame_not_contiguous' AS code, document_id || ':' || frame_idx AS id FROM (SELECT document_id, frame_idx FROM listed GROUP BY 1, 2 HAVING max(pos) - min(pos) + 1 <> count(DISTINCT pos)) UNION ALL SELECT 'single_segment_frame', document_id || ':' || frame_idx FROM (SELECT document_id, frame_idx FROM listed GROUP BY 1, 2 HAVING count(DISTINCT pos) = 1)
 UNION ALL SELECT 'overlapping_segment', document_id || ':' || pos FROM (SELECT document_id, pos FROM listed GROUP BY 1, 2 HAVING count(*) > 1) UNION ALL SELECT 'unassigned_segment', document_id || ':' || pos FROM lp WHERE pos % 7 = 0) GROUP BY code""", "listed"),
     "duplicate_texts": "SELECT md5(text) AS text_md5, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1",
