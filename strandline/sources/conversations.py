@@ -18,13 +18,26 @@ ACADEMIC = ("here we present", r"\bet al\.?\b", r"\(n.?=\s*\d+\)", r"\b\d+,\d+\b
 INTRO = (r"nasel jsem tento clanek\s*:", "potrebuju vysvetlit nasledujici text", "o tomto clanku bych se dnes chtel bavit", "kolega mi poslal sv[uů]j text", "tady (?:autor|autorka) pise", "toto je vynatek z knihy", r"chatgpt\s*[rř]ekl\s*:", "tady je lepsi vysvetleni")
 BODY_MARKER = r"toto jsou jejich terms\s*(?:&|and)\s*conditions\s*:"
 PROMPTS = ("from now on you are going to act as a dan", "do anything now")
-#: Work vocabulary by bucket, over text without marks; a trailing * takes any word ending.
+#: Work vocabulary by bucket, over text without marks. A ``*`` takes any word ending and ``|`` stands between words of one entry: the same
+#: entries make Spark's patterns and DuckDB's, which write the ends of words differently.
 WORK = {
-    "system": "aplikac* app projekt* backend* frontend* admin billing klient* registrac* login databaz* db endpoint*".split(),
-    "implementation": "kod* code api json python typescript javascript flutter xcode swift skript* script* soubor* dokument* schema* enum class function return repo|repozitar* build deploy workflow".split(),
-    "intent": "specifikac* analyz* algoritm* implement* prehled* funkcionalit* oprava|opravit|opraven*|opravy debug* bug* nasad* konfigurac* tabulk* pozadav* pravidl*".split(),
+    "system": [
+        "aplikac*", "app", "projekt*", "backend*", "frontend*", "admin", "billing", "klient*", "registrac*", "login", "databaz*", "db",
+        "endpoint*",
+    ],
+    "implementation": [
+        "kod*", "code", "api", "json", "python", "typescript", "javascript", "flutter", "xcode", "swift", "skript*", "script*", "soubor*",
+        "dokument*", "schema*", "enum", "class", "function", "return", "repo|repozitar*", "build", "deploy", "workflow",
+    ],
+    "intent": [
+        "specifikac*", "analyz*", "algoritm*", "implement*", "prehled*", "funkcionalit*", "oprava|opravit|opraven*|opravy", "debug*", "bug*",
+        "nasad*", "konfigurac*", "tabulk*", "pozadav*", "pravidl*",
+    ],
 }
-STRONG = "backend* frontend* endpoint* api json python typescript javascript flutter xcode databaz* db enum function repo|repozitar* deploy* login billing".split()
+STRONG = [
+    "backend*", "frontend*", "endpoint*", "api", "json", "python", "typescript", "javascript", "flutter", "xcode", "databaz*", "db", "enum",
+    "function", "repo|repozitar*", "deploy*", "login", "billing",
+]
 WORK_TURNS, WORK_CHARS = 6, 8000
 
 
@@ -70,15 +83,15 @@ def content_text(content: Column) -> Column:
     )
 
 
-def active_chain(nodes: DataFrame, depth: int = 10_000) -> DataFrame:
+def active_chain(nodes: DataFrame) -> DataFrame:
     """conversation_id, node_id, ord of the branch from the current node up to the root, root first.
 
-    ``nodes``: conversation_id, node_id, parent, current_node, time. The walk is a fold over one conversation's map, so a cycle ends it at
-    ``depth`` or at a node seen before; without a current node all nodes are taken by time.
+    ``nodes``: conversation_id, node_id, parent, current_node, time. The walk is a fold over one conversation's map, so it has at most as many
+    steps as the conversation has nodes, and a cycle ends it at a node seen before; without a current node all nodes are taken by time.
     """
     per = nodes.groupBy("conversation_id").agg(F.first("current_node", True).alias("cur"), F.map_from_entries(F.collect_list(F.struct("node_id", F.coalesce("parent", F.lit(""))))).alias("up"), F.transform(F.array_sort(F.collect_list(F.struct(F.col("time").isNull().alias("z"), "time", "node_id"))), lambda x: x["node_id"]).alias("by_time"))
     step = lambda acc, _: F.when(F.map_contains_key("up", F.element_at(acc, -1)) & ~F.array_contains(acc, F.coalesce(F.try_element_at("up", F.element_at(acc, -1)), F.lit(""))), F.concat(acc, F.array(F.try_element_at("up", F.element_at(acc, -1))))).otherwise(acc)
-    walk = F.aggregate(F.sequence(F.lit(1), F.least(F.lit(depth), F.size("up"))), F.array("cur"), step)
+    walk = F.aggregate(F.sequence(F.lit(1), F.size("up")), F.array("cur"), step)
     chain = F.when(F.col("cur").isNull(), F.col("by_time")).otherwise(F.reverse(F.filter(walk, lambda v: v != "")))
     return per.select("conversation_id", F.posexplode(chain).alias("ord", "node_id"))
 
