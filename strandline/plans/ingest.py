@@ -95,6 +95,18 @@ def work_classify(spark, sf_dir):
     return C.work_score(C.work_input(t).join(first, "conversation_id"), vocabulary, ["the*", "und", "que"])
 
 
+#: A form of every entry of the work vocabulary, from which titles and bodies are dealt.
+FORMS = [w.split("|")[0].replace("*", "ova") for ws in C.WORK.values() for w in ws]
+
+
+def work_vocabulary(spark, sf_dir):
+    """Conversations of one to nine words of the work vocabulary, scored by it."""
+    words, n = F.array(*map(F.lit, FORMS)), len(FORMS)
+    ids = base.table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("c")).distinct()
+    body = F.transform(F.sequence(F.lit(0), F.col("c") % 9), lambda j: F.element_at(words, ((F.col("c") * 3 + j * 7) % n + 1).cast("int")))
+    return C.work_score(ids.select(F.concat(F.lit("conversation:"), F.col("c").cast("string")).alias("conversation_id"), F.element_at(words, (F.col("c") % n + 1).cast("int")).alias("title"), F.array_join(body, " ").alias("body")))
+
+
 def role_counts(spark, sf_dir):
     return C.role_counts(base.turns(spark, sf_dir))
 
@@ -207,7 +219,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         unified_segments, unified_timeline, document_rollup, corpus_stats, text_metrics, slug_titles, file_names, transcript_messages, chat_rollup, chat_focus, focus_timeline, turn_sanitize,
-        conversation_gate, work_classify, role_counts, active_chain, content_payloads, local_context, evidence_context, greedy_batches, batch_density, month_chronology, source_mix,
+        conversation_gate, work_classify, work_vocabulary, role_counts, active_chain, content_payloads, local_context, evidence_context, greedy_batches, batch_density, month_chronology, source_mix,
     )
 }
 
@@ -234,6 +246,10 @@ SELECT 'conversation:' || conv_id AS conversation_id, n AS n_turns, f AS has_fen
 t AS (SELECT conv_id, arg_min(text, turn) AS title FROM conversations GROUP BY conv_id), n AS (SELECT conv_id, strip_accents(lower(title || chr(10) || chr(10) || body)) AS n, strip_accents(lower(title)) AS t FROM b JOIN t USING (conv_id)),
 h AS (SELECT conv_id, {_hits('n', ['app', 'the*', 'que*'])} AS a, {_hits('n', ['of', 'und', 'en*'])} AS b, {_hits('n', ['and', 'des', 'is'])} AS c, {_hits('t', ['app', 'the*', 'que*', 'of', 'und', 'en*', 'and', 'des', 'is'])} AS th, {' + '.join(f"regexp_matches(n, '{chr(92)}b{w}{chr(92)}b')::INT" for w in ('the[A-Za-z0-9_]*', 'und', 'que'))} AS s FROM n)
 SELECT 'conversation:' || conv_id AS conversation_id, a::INT AS system_hits, b::INT AS implementation_hits, c::INT AS intent_hits, th::INT AS title_hits, s AS strong, (a > 0)::INT + (b > 0)::INT + (c > 0)::INT AS buckets, (a + b + c)::INT AS hits, (3 * ((a > 0)::INT + (b > 0)::INT + (c > 0)::INT) + a + b + c + least(th, 2))::INT AS score,
+(a > 0)::INT + (b > 0)::INT + (c > 0)::INT >= 2 AND a + b + c >= 5 AND s >= 2 AND (th >= 1 OR greatest(a, b, c) >= 3) AS exclude FROM h""",
+    "work_vocabulary": f"""WITH n AS (SELECT c AS conv_id, {base.list_sql(FORMS)}[c % {len(FORMS)} + 1] AS t, {base.list_sql(FORMS)}[c % {len(FORMS)} + 1] || chr(10) || chr(10) || array_to_string(list_transform(range(0, c % 9 + 1), lambda j: {base.list_sql(FORMS)}[(c * 3 + j * 7) % {len(FORMS)} + 1]), ' ') AS n FROM (SELECT DISTINCT conv_id::BIGINT AS c FROM conversations)),
+h AS (SELECT conv_id, {_hits('n', C.WORK['system'])} AS a, {_hits('n', C.WORK['implementation'])} AS b, {_hits('n', C.WORK['intent'])} AS c, {_hits('t', [w for ws in C.WORK.values() for w in ws])} AS th, {' + '.join(f"regexp_matches(n, '{chr(92)}b(?:{w.replace('*', '[A-Za-z0-9_]*')}){chr(92)}b')::INT" for w in C.STRONG)} AS s FROM n)
+SELECT 'conversation:' || conv_id AS conversation_id, a::INT AS system_hits, b::INT AS implementation_hits, c::INT AS intent_hits, th::INT AS title_hits, s AS strong, (a > 0)::INT + (b > 0)::INT + (c > 0)::INT AS buckets, (a + b + c)::INT AS hits, (3 * ((a > 0)::INT + (b > 0)::INT + (c > 0)::INT) + a + b + c + least(th, 2))::INT AS score,
 (a > 0)::INT + (b > 0)::INT + (c > 0)::INT >= 2 AND a + b + c >= 5 AND s >= 2 AND (th >= 1 OR greatest(a, b, c) >= 3) AS exclude FROM h""",
     "role_counts": "SELECT 'conversation:' || conv_id AS conversation_id, count(*) AS n_turns, " + ", ".join(f"count(*) FILTER (role = '{r}') AS n_{r}" for r in ("user", "assistant", "tool", "system")) + ", 0::BIGINT AS n_unknown FROM conversations GROUP BY conv_id",
     "active_chain": """WITH n AS (SELECT conv_id, 'n' || turn AS id, turn AS t FROM conversations UNION ALL SELECT conv_id, 'd' || turn, turn FROM conversations WHERE turn % 3 = 1)
