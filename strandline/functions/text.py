@@ -182,5 +182,5 @@ def intro_prefix(x: Column, most: int = 320) -> Column:
 #: The words that family clustering, review and frame alignment leave out.
 FAMILY_STOP = [w for w in MERGE_STOP if w not in ("vsichni", "into", "its")]
 ALIGN_STOP = [*FAMILY_STOP, "jako", "skrze", "vuci"]
-#: Words that titles are compared without, and titles that say nothing.
+#: Words that titles are compared without.
 TITLE_STOP = "a an and as bez by do for i in is jako je k ke na nad nebo o od of po pod pro se s the to u ve vs v with z za ze".split()

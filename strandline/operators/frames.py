@@ -40,8 +40,8 @@ def contiguous(listed: DataFrame, by: list[str]) -> DataFrame:
 def attach_orphans(assigned: DataFrame, positions: DataFrame) -> DataFrame:
     """Positions without a frame go to the nearest frame's range in the document; ties to the earliest frame. Only documents with frames.
 
-    Positions look back and forward to the nearest assigned ones by two window passes, so no pair of position and frame is made beyond
-    the frames of one position's two neighbours.
+    A free position meets the ranges of its own document's frames (a handful, however long the document), found by an equi-join; nothing
+    is compared across documents.
     """
     ranges = assigned.groupBy("document_id", "frame_idx").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))
     free = positions.join(assigned.select("document_id", "pos"), ["document_id", "pos"], "left_anti")

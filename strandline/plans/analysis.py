@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..operators import audit, frames, incremental, resolve, retrieval
 from ..streaming import events as S
 from . import base, graph, ingest
+from .storage import cut
 
 
 def _chunks(spark, sf_dir):
@@ -75,6 +76,7 @@ def summary_score(spark, sf_dir):
 def _listed(spark, sf_dir):
     """Frames of a document by what its paragraphs start with: the first letter's class; every seventh paragraph is in none, every fifth in two."""
     s = base.segments(spark, sf_dir).where("source_kind = 'writing'").select("document_id", F.col("sequence_index").alias("pos"), (F.length("text") % 3).cast("int").alias("frame_idx"), "text")
+    s = cut(s, "listed")  # used several times; segments are split from texts once
     own = s.where("pos % 7 <> 0").select("document_id", "frame_idx", "pos")
     twice = s.where("pos % 5 = 0 AND pos % 7 <> 0").select("document_id", ((F.col("frame_idx") + 1) % 3).cast("int").alias("frame_idx"), "pos")
     return s, own.unionByName(twice)
