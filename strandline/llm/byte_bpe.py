@@ -72,7 +72,7 @@ def split_texts(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
 
 
 #: Distinct pre-tokens that a worker remembers before it starts anew.
-MEMO = 600_000
+MEMO = 400_000
 
 
 class Memo(dict):

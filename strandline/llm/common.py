@@ -2,26 +2,46 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.storage import cut, shared_dir
 
-__all__ = ["bounded", "cut", "fresh", "light", "need", "row_key", "shared_dir", "table"]
+__all__ = ["bounded", "cut", "cut_python", "fresh", "light", "need", "release", "row_key", "shared_dir", "table"]
 
 #: The most that a side of a join may take to be broadcast.
 LIGHT_BYTES = 32_000_000
-#: Rows and characters that Python works on at once; Spark bounds the bytes of the Arrow batches that they are cut from.
-BATCH_ROWS, BATCH_CHARS = 1000, 4_000_000
+#: Rows and characters that Python works on at once, and Spark's settings for the Arrow batches that they are cut from, with the most that they may be.
+BATCH_ROWS, BATCH_CHARS = 500, 2_000_000
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def cut_python(df: DataFrame, name: str) -> DataFrame:
+    """``cut`` of a table that Python workers make: Arrow batches are small while it is written, and the session's settings are as before afterwards.
+
+    A worker keeps the memory that its largest batch took, so batches of Spark's size would stay with an executor from stage to stage.
+    """
+    conf = df.sparkSession.conf
+    before = {k: conf.get(k) for k in ARROW}
+    try:
+        for k, v in ARROW.items():
+            conf.set(k, v)
+        return cut(df, name)
+    finally:
+        for k, v in before.items():
+            conf.set(k, v)
+
+
 def light(df: DataFrame, row_bytes: int | Column) -> DataFrame:
     """``df`` marked for broadcast if its rows, measured, take at most ``LIGHT_BYTES``; else as it is, for a shuffled join. ``df`` should be a written table."""
     took = df.agg(F.sum(F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes).cast("long")).first()[0]
@@ -51,7 +71,7 @@ def row_key(id_col: Column, text_col: Column) -> Column:
 
 
 def bounded(run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], text: str, rows: int = BATCH_ROWS, chars: int = BATCH_CHARS):
-    """``run`` over slices of its batches of at most ``rows`` rows, and ``chars`` characters of column ``text`` or one row."""
+    """``run`` over slices of its batches of at most ``rows`` rows, and ``chars`` characters of column ``text`` or one row; at a task's end memory is given back."""
 
     def slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -64,4 +84,15 @@ def bounded(run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], tex
                 held += size
             yield b.iloc[start:].reset_index(drop=True)
 
-    return lambda batches: run(slices(batches))
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from run(slices(batches))
+        release()
+
+    return whole
+
+
+def release() -> None:
+    """Give what a worker has freed back to the system: workers outlive their tasks, and what they hold counts against the executor in every later stage."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than GNU's
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

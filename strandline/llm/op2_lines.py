@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bounded, cut, fresh, light, need, row_key
+from .common import bounded, cut, cut_python, fresh, light, need, row_key
 
 #: (lines in the rolling hash's window, divisor) of each level of chunks.
 LEVELS = ((1, 3), (2, 3), (3, 6))
@@ -155,12 +155,12 @@ def repeated(docs: DataFrame, tag: str = "lines", passages: bool = False, least:
     counted = flat.join(light(twice, 24), "h", "left").withColumn("n", F.coalesce("n", F.lit(1)))
     lines = counted.groupBy("rid").agg(F.first("z").alias("z"), F.first("d").alias("d"), F.array_sort(F.collect_list(F.struct("pos", "h", "w", "n"))).alias("l"), F.max("n").alias("most")).where("most > 1")
     lines = cut(lines, f"{tag}-counted")
-    again = cut(runs(cut(chunks(lines), f"{tag}-chunks"), least, tag), f"{tag}-runs")
+    again = cut(runs(cut_python(chunks(lines), f"{tag}-chunks"), least, tag), f"{tag}-runs")
     source = "concat_ws(':', source, s - offset, e - offset) AS key"
     spans = again.selectExpr("rid", "s", "e", source).unionByName(again.selectExpr("source AS rid", "s - offset AS s", "e - offset AS e", source).distinct())
     if passages:
         later = again.groupBy("rid").agg(F.collect_list(F.struct("s", "e")).alias("gone"))
-        short = cut(windows(lines, later), f"{tag}-windows")
+        short = cut_python(windows(lines, later), f"{tag}-windows")
         place = F.expr(PLACE)
         missed = cut(short.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.bool_or("open").alias("some")).where("n > 1 AND some").select("key", "first"), f"{tag}-missed")
         more = short.join(light(missed, F.length("key") + F.length("first.r") + 80), "key").where("open AND (rid <> first.r OR s >= first.p + e - s) OR rid = first.r AND s = first.p")

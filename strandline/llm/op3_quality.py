@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bounded, cut, fresh, light, need, row_key
+from .common import bounded, cut, cut_python, fresh, light, need, row_key
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\r\x0b\x0c"
@@ -139,7 +139,7 @@ def judge(counted: DataFrame) -> DataFrame:
 
 def score_documents(docs: DataFrame, tag: str = "op3") -> DataFrame:
     """Counts, n_over and verdict of every row of ``docs`` (needs doc_id, text, lang, source)."""
-    return judge(cut(measured(docs, "doc_id", "lang", "source"), f"{tag}-counts"))
+    return judge(cut_python(measured(docs, "doc_id", "lang", "source"), f"{tag}-counts"))
 
 
 def op3_quality_rules(spark, sf_dir) -> DataFrame:
@@ -151,7 +151,7 @@ def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; all columns of the others stay as they are."""
     (key, k2) = fresh(docs.columns, "rid", "rid2")
     keyed = docs.withColumn(key, row_key(F.col("doc_id"), F.col("text")))
-    counted = cut(measured(keyed, key, "lang", "source"), "quality-counts")
+    counted = cut_python(measured(keyed, key, "lang", "source"), "quality-counts")
     gone = cut(judge(counted).where(~F.col("kept")).select(F.col(key).alias(k2)).distinct(), "quality-gone")
     return keyed.join(light(gone, F.length(k2) + 40), F.col(key) == F.col(k2), "left_anti").select(*(f"`{c}`" for c in docs.columns))
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .byte_bpe import encoder
-from .common import bounded, cut, need
+from .common import bounded, cut, cut_python, need
 
 CAPACITY, END_ID, SMALL_PART, GROUPS = 2048, 0, 8, 256
 #: What a further configuration must save, as a part of a sequence, and the most knapsacks solved.
@@ -266,7 +266,7 @@ def placed(cuts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
-    return placed(cut(pieces(docs, path, capacity), "pieces"), capacity)
+    return placed(cut_python(pieces(docs, path, capacity), "pieces"), capacity)
 
 
 def op5_best_fit_packing(spark, sf_dir) -> DataFrame:

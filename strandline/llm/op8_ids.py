@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import encoder
-from .common import bounded, cut, need
+from .common import bounded, cut_python, need
 
 MAGIC, END_ID, BLOCK_TOKENS = b"SLT1", 0, 1 << 18
 HEAD = struct.Struct("<4sIII")
@@ -147,7 +147,7 @@ def write_ids(tokens: DataFrame, by_rank: np.ndarray, kind: str, tag: str = "tok
             yield close()
 
     dealt = tokens.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("crc")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "crc")
-    return cut(dealt.select("doc_id", "ids").mapInPandas(run, "part int, block int, n_docs int, n_tokens long, ahead long, payload binary"), tag)
+    return cut_python(dealt.select("doc_id", "ids").mapInPandas(run, "part int, block int, n_docs int, n_tokens long, ahead long, payload binary"), tag)
 
 
 def read_ids(blocks: DataFrame, by_rank: np.ndarray) -> DataFrame:
@@ -172,6 +172,6 @@ def op8_token_ids(spark, sf_dir) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    tokens, kind = cut(tokenized(spark.read.parquet(f"{sf_dir}/documents.parquet"), path), "tokens"), width(path)
+    tokens, kind = cut_python(tokenized(spark.read.parquet(f"{sf_dir}/documents.parquet"), path), "tokens"), width(path)
     by_rank = frequencies(tokens, kind)
     return read_ids(write_ids(tokens, by_rank, kind), by_rank)

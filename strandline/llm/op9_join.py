@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, cut, fresh, light, need, row_key
+from .common import bounded, cut, cut_python, fresh, light, need, release, row_key
 from .components import connected
 
 GRAM, THRESHOLD, RECALL, MAX_HASHES = 5, 0.8, 0.9995, 110
@@ -191,14 +191,17 @@ def tile(pdf: pd.DataFrame) -> pd.DataFrame:
         np.minimum.at(label, b, label[a])
     names = np.array(sorted(set(both["key"])), object)
     on = links > 0
-    return pd.DataFrame({"key": both["key"][on], "root": names[label[on]], "links": links[on]})
+    out = pd.DataFrame({"key": both["key"][on], "root": names[label[on]], "links": links[on]})
+    if len(both) > 200:
+        release()
+    return out
 
 
 def linked(docs: DataFrame, tag: str = "join") -> DataFrame:
     """rid (of ``row_key``), doc_id, class_key, class_id, n_links for every row."""
     rid, = fresh(docs.columns, "rid")
     keyed = docs.withColumn(rid, row_key(F.col("doc_id"), F.col("text")))
-    rows = cut(signed(keyed, rid, "doc_id").withColumnRenamed(rid, "rid"), f"{tag}-signed")
+    rows = cut_python(signed(keyed, rid, "doc_id").withColumnRenamed(rid, "rid"), f"{tag}-signed")
     reps = rows.where("key IS NOT NULL").groupBy("key").agg(F.min("rid").alias("rep"), F.min("doc_id").alias("low"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("size").alias("size"))
     reps = cut(reps, f"{tag}-reps")
     cells = reps.select("key", F.posexplode("bands").alias("band", "hash"))

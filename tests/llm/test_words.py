@@ -381,3 +381,19 @@ def test_repeated_rows_are_spread_and_packed(spark):
     assert cuts.selectExpr("nth % 64 AS s").groupBy("s").count().count() == 64
     rows = op5_pack.pack_documents(df, BYTE).collect()
     assert len(rows) == 3000 and packed(rows) == -(-3000 // (2048 // rows[0]["length"]))
+
+
+def test_batches_are_bounded_and_leave_the_session_as_it_is(spark, odd):
+    import pandas as pd
+
+    from strandline.llm import common
+
+    before = {k: spark.conf.get(k) for k in common.ARROW}
+    op3_quality.score_documents(odd)
+    op5_pack.pack_documents(odd, BYTE)
+    assert {k: spark.conf.get(k) for k in common.ARROW} == before
+    seen = []
+    run = common.bounded(lambda batches: (seen.append(list(b["text"])) or b for b in batches), "text", rows=3, chars=10)
+    texts = ["aaaa", "bbbb", "cccc", None, "x" * 50, "", "d", "e", "f", None]
+    assert pd.concat(run(iter([pd.DataFrame({"text": texts})])))["text"].tolist() == texts
+    assert all(len(b) == 1 or len(b) <= 3 and sum(len(t or "") for t in b) <= 10 for b in seen)
