@@ -89,7 +89,8 @@ class Memo(dict):
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo: int = MEMO):
+        self.memo = memo
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -131,7 +132,7 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text, as unsigned 32-bit numbers; none for null or empty texts."""
         out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
-        if self.n > MEMO:
+        if self.n > self.memo:
             self.clear()
         known = []
         for k, t in enumerate(texts):
@@ -160,5 +161,5 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, memo: int = MEMO) -> Encoder:
+    return Encoder(path, memo)

@@ -19,15 +19,15 @@ __all__ = ["bounded", "cut", "cut_python", "fresh", "light", "need", "release",
 LIGHT_BYTES = 32_000_000
 #: Rows and characters that Python works on at once, and Spark's settings for the Arrow batches that they are cut from, with the most that they may be.
 BATCH_ROWS, BATCH_CHARS = 500, 2_000_000
-ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": 4_000_000}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_python(df: DataFrame, name: str) -> DataFrame:
-    """``cut`` of a table that Python workers make: Arrow batches are small while it is written, and the session's settings are as before afterwards.
+def cut_python(df: DataFrame, name: str, times: int = 1) -> DataFrame:
+    """``cut`` of a table that Python workers make: Arrow batches are small (``times`` the usual) while it is written, and the session's settings are as before afterwards.
 
     A worker keeps the memory that its largest batch took, so batches of Spark's size would stay with an executor from stage to stage.
     """
@@ -35,7 +35,7 @@ def cut_python(df: DataFrame, name: str) -> DataFrame:
     before = {k: conf.get(k) for k in ARROW}
     try:
         for k, v in ARROW.items():
-            conf.set(k, v)
+            conf.set(k, str(times * v))
         return cut(df, name)
     finally:
         for k, v in before.items():

@@ -65,6 +65,10 @@ def unpack(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     return padded[where].reshape(-1).view("<u2" if narrow else "<u4")[:n].astype(np.uint32)
 
 
+#: Distinct pre-tokens that a worker remembers here, where no other operator's memory stands beside.
+MEMO = 600_000
+
+
 def write_block(ids: np.ndarray, null: np.ndarray, counts: np.ndarray, ranks: np.ndarray) -> bytes:
     index = zlib.compress(ids.astype("<i8").tobytes() + null.astype("u1").tobytes() + counts.astype("<u4").tobytes(), 1)
     return HEAD.pack(MAGIC, len(ids), len(ranks), len(index)) + index + b"".join(pack(ranks))
@@ -91,14 +95,14 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
     kind = width(path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc, end, stop = encoder(path), np.array([END_ID], "<u4").tobytes(), np.array([END_ID], kind).tobytes()
+        enc, end, stop = encoder(path, MEMO), np.array([END_ID], "<u4").tobytes(), np.array([END_ID], kind).tobytes()
         for b in batches:
             ids = enc.encode(list(b["text"]))
             crc = [zlib.crc32(end, zlib.crc32(x.astype("<u4").tobytes())) for x in ids]
             raw = [x.astype(kind).tobytes() + stop for x in ids]
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n_tokens": [len(x) + 1 for x in ids], "crc": crc, "ids": raw})
 
-    return need(docs, "doc_id", "text").mapInPandas(bounded(run, "text"), "doc_id long, n_tokens long, crc long, ids binary")
+    return need(docs, "doc_id", "text").mapInPandas(bounded(run, "text", 3000, 12_000_000), "doc_id long, n_tokens long, crc long, ids binary")
 
 
 def frequencies(tokens: DataFrame, kind: str) -> np.ndarray:
@@ -147,7 +151,7 @@ def write_ids(tokens: DataFrame, by_rank: np.ndarray, kind: str, tag: str = "tok
             yield close()
 
     dealt = tokens.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("crc")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "crc")
-    return cut_python(dealt.select("doc_id", "ids").mapInPandas(run, "part int, block int, n_docs int, n_tokens long, ahead long, payload binary"), tag)
+    return cut_python(dealt.select("doc_id", "ids").mapInPandas(run, "part int, block int, n_docs int, n_tokens long, ahead long, payload binary"), tag, 4)
 
 
 def read_ids(blocks: DataFrame, by_rank: np.ndarray) -> DataFrame:
@@ -172,6 +176,6 @@ def op8_token_ids(spark, sf_dir) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    tokens, kind = cut_python(tokenized(spark.read.parquet(f"{sf_dir}/documents.parquet"), path), "tokens"), width(path)
+    tokens, kind = cut_python(tokenized(spark.read.parquet(f"{sf_dir}/documents.parquet"), path), "tokens", 6), width(path)
     by_rank = frequencies(tokens, kind)
     return read_ids(write_ids(tokens, by_rank, kind), by_rank)
