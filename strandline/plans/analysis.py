@@ -66,8 +66,7 @@ def source_index(spark, sf_dir):
 def summary_score(spark, sf_dir):
     """Titles as display sentences: a capital, a final mark, and points for length and form."""
     w = base.writings(spark, sf_dir)
-    t = T.squeeze(F.col("title"))
-    s = F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, 2, 100000))
+    s = T.capitalize(T.squeeze(F.col("title")))
     s = F.when(s.rlike("[.?!]$"), s).otherwise(F.concat(s, F.lit(".")))
     score = F.when(F.length(s) < 20, -10).when(F.length(s) <= 160, 20).otherwise(5) + F.when(s.contains("?"), 3).otherwise(0) - 2 * F.regexp_count(s, F.lit("[|#*$%&]"))
     return w.select("document_id", F.md5(s).alias("sentence_md5"), score.cast("long").alias("score"))
