@@ -45,8 +45,11 @@ def recency_order() -> list[Column]:
 
 
 def latest_claims(claims: DataFrame, current: DataFrame, top: int = 3) -> DataFrame:
-    """Each node's claims for display: those of its current state first, then by time and chronology, newest first."""
-    j = claims.join(current.select("claim_id", F.lit(1).alias("cur")), "claim_id", "left").na.fill(0, ["cur"])
+    """Each node's claims for display: those of its current state first, then by time and chronology, newest first.
+
+    A claim is known by its node and number: ids have four digits and repeat from a node's ten-thousandth claim on.
+    """
+    j = claims.join(current.select("canonical_key", "claim_no", F.lit(1).alias("cur")), ["canonical_key", "claim_no"], "left").na.fill(0, ["cur"])
     r = F.row_number().over(Window.partitionBy("canonical_key").orderBy(F.desc("cur"), F.col("time_unix").desc_nulls_last(), F.desc("chronology_index"), "claim_id"))
     return j.withColumn("rank", r.cast("long")).where(F.col("rank") <= top).select("canonical_key", "claim_id", "rank", "cur")
 

@@ -4,6 +4,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from strandline.functions import text as T
+from strandline.operators import maps
 from strandline.plans import registry
 
 from .test_queries import plain
@@ -32,3 +33,13 @@ def test_capitals_are_those_of_sql(spark):
     got = spark.createDataFrame([(c, chr(c)) for c in codes if c < 0x2FFFF and chr(c) != chr(c).upper()], "c long, x string").select("c", T.capitalize(F.col("x")))
     want = dict(duckdb.execute("SELECT c, upper(chr(c::INT)) FROM unnest(?) t(c)", [codes]).fetchall())
     assert [(c, up, want[c]) for c, up in got.collect() if up != want[c]] == []
+
+
+def test_latest_claims_of_a_node_with_ten_thousand(spark):
+    """Ids of four digits repeat: claim 1000 has that of claim 10000, which is current."""
+    n = F.col("id") + 1
+    claims = spark.range(10_020).select(F.lit("k").alias("canonical_key"), n.alias("claim_no"), F.concat(F.lit("claim:k:"), F.lpad(n.cast("string"), 4, "0")).alias("claim_id"), F.lit(None).cast("long").alias("time_unix"), (20_000 - n).alias("chronology_index"))
+    got = maps.latest_claims(claims, claims.where("claim_no >= 10000")).orderBy("rank").collect()
+    assert [tuple(r) for r in got] == [("k", "claim:k:1000", k, 1) for k in (1, 2, 3)]
+    got = maps.latest_claims(claims, claims.where("claim_no IN (10000, 10019)")).orderBy("rank").collect()
+    assert [tuple(r) for r in got] == [("k", "claim:k:1000", 1, 1), ("k", "claim:k:1001", 2, 1), ("k", "claim:k:0001", 3, 0)]
