@@ -1,10 +1,13 @@
 """Queries on what the driver's smallest tables do not have: odd characters, long titles, nodes with very many claims, large groups."""
 
+import itertools
+import random
+
 import duckdb
 from pyspark.sql import functions as F
 
 from strandline.functions import text as T
-from strandline.operators import maps
+from strandline.operators import maps, similarity
 from strandline.plans import registry
 
 from .test_queries import plain
@@ -43,3 +46,14 @@ def test_latest_claims_of_a_node_with_ten_thousand(spark):
     assert [tuple(r) for r in got] == [("k", "claim:k:1000", k, 1) for k in (1, 2, 3)]
     got = maps.latest_claims(claims, claims.where("claim_no IN (10000, 10019)")).orderBy("rank").collect()
     assert [tuple(r) for r in got] == [("k", "claim:k:1000", 1, 1), ("k", "claim:k:1001", 2, 1), ("k", "claim:k:0001", 3, 0)]
+
+
+def test_few_pairs_leave_the_join_of_prefixes(spark):
+    """Of sets over a small vocabulary nearly all pairs share a token of their prefixes, and few are near."""
+    r = random.Random(4)
+    sets = [set(r.sample(range(60), r.randint(6, 12))) for _ in range(300)]
+    sets += [s ^ {r.randrange(60)} for s in sets[:40]]
+    near = {(i, j) for (i, a), (j, b) in itertools.combinations(enumerate(sets), 2) if len(a & b) / len(a | b) >= 0.72}
+    rows = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "rid long, s array<long>").select("rid", F.transform("s", lambda t: F.xxhash64(t)).alias("h"))
+    got = {tuple(x) for x in similarity.near_sets(similarity.heads(rows, 0.72), 0.72).collect()}
+    assert near <= got and len(got) <= 2 * len(near)
