@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..plans.storage import cut
 from .graph import connected
 
 ROLE_WEIGHT = {"main_claim": 3.0, "revision_branch": 2.5, "question": 2.0, "tension": 2.0}
@@ -90,22 +91,42 @@ def anchor_nodes(members: DataFrame, k: int = 2) -> DataFrame:
     return s.withColumn("r", r).where(F.col("r") <= k).select("frame_id", "node_id", "support")
 
 
+def _may_reach(a: str, b: str, threshold: float):
+    """Whether two token sets may have a Jaccard similarity of ``threshold``, by their sizes and one bit a token: bits in which they differ are tokens that one lacks."""
+    n = F.col("n" + a) + F.col("n" + b)
+    need = F.ceil(n * (threshold / (1 + threshold)) - 1e-9)
+    return n - F.bit_count(F.col("b" + a).bitwiseXOR(F.col("b" + b))) >= 2 * need
+
+
 def frame_pairs(frames: DataFrame, members: DataFrame) -> DataFrame:
     """(a, b, shared) of frames of different documents that belong together. ``frames``: frame_id, document_id, label, anchors; ``members``: frame_id, node_id, anchor (boolean).
 
-    Both rules need a shared node, so pairs come from an equi-join on it.
+    Both rules need a shared node, so pairs come from an equi-join on it. Frames with the same nodes, label tokens and anchors are one class until
+    the end; classes whose tokens cannot be near enough for either rule do not leave the join, and the tokens of the rest are compared after.
     """
-    n = members.groupBy("frame_id").agg(F.count_distinct("node_id").alias("n"))
     m = members.groupBy("frame_id", "node_id").agg(F.bool_or("anchor").alias("anchor"))
-    x, y = m.select(F.col("frame_id").alias("a"), "node_id", F.col("anchor").alias("xa")), m.select(F.col("frame_id").alias("b"), "node_id", F.col("anchor").alias("ya"))
-    p = x.join(y, "node_id").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"), F.count_if(F.col("xa") & F.col("ya")).alias("shared_anchors"))
-    f = frames.join(n, "frame_id").withColumn("lt", T.tokens(F.col("label"), T.ALIGN_STOP))
-    side = lambda k, s: f.select(F.col("frame_id").alias(k), F.col("document_id").alias("d" + s), F.col("n").alias("n" + s), F.col("lt").alias("l" + s), F.col("anchors").alias("t" + s))
-    j = p.join(side("a", "1"), "a").join(side("b", "2"), "b").where("d1 <> d2")
-    over = F.col("shared") / F.least("n1", "n2") >= 0.5
-    one = (F.col("shared_anchors") >= 1) & over & (T.jaccard(F.col("t1"), F.col("t2")) >= 0.14)
-    two = (F.col("shared") >= 2) & over & (T.jaccard(F.col("l1"), F.col("l2")) >= 0.16)
-    return j.where(one | two).select("a", "b", "shared")
+    sets = m.groupBy("frame_id").agg(F.array_sort(F.collect_list(F.struct("node_id", "anchor"))).alias("nodes"))
+    unique = lambda c: F.array_sort(F.array_distinct(c))
+    f = frames.join(sets, "frame_id").select("frame_id", "document_id", "nodes", unique(T.tokens(F.col("label"), T.ALIGN_STOP)).alias("lt"), unique(F.col("anchors")).alias("at"))
+    f = cut(f.withColumn("like", F.unhex(F.md5(F.to_json(F.struct("nodes", "lt", "at"))))).withColumn("rid", F.monotonically_increasing_id()), "frames")
+    first = lambda c: F.first(c).alias(c)
+    classes = cut(f.groupBy("like").agg(F.min("rid").alias("c"), F.count("*").alias("k"), first("nodes"), first("lt"), first("at")), "frame-classes")
+    own = cut(f.select("like", "frame_id", "document_id").join(classes.select("like", "c"), "like").select("c", "frame_id", "document_id"), "class-members")
+    bits = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda x, t: x.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(t), F.lit(64)).cast("int"))))
+    rows = classes.select("c", "k", F.size("nodes").alias("n"), F.size("lt").alias("nl"), F.size("at").alias("na"), bits("lt").alias("bl"), bits("at").alias("ba"), F.explode("nodes").alias("node"))
+    rows = cut(rows.select("c", "k", "n", "nl", "na", "bl", "ba", "node.node_id", "node.anchor"), "class-nodes")
+    x, y = (rows.select("node_id", *(F.col(c).alias(c + s) for c in rows.columns if c != "node_id")) for s in "12")
+    near1, near2 = F.coalesce(_may_reach("a1", "a2", 0.14), F.lit(False)), F.coalesce(_may_reach("l1", "l2", 0.16), F.lit(False))
+    met = x.join(y, "node_id").where(((F.col("c1") < F.col("c2")) | ((F.col("c1") == F.col("c2")) & (F.col("k1") > 1))) & (near1 | near2))
+    p = met.groupBy("c1", "c2").agg(F.count("*").alias("shared"), F.count_if(F.col("anchor1") & F.col("anchor2")).alias("anchors"), F.first(F.least("n1", "n2")).alias("least"), F.first(near1).alias("near1"), F.first(near2).alias("near2"))
+    one, two = (F.col("anchors") >= 1) & F.col("near1"), (F.col("shared") >= 2) & F.col("near2")
+    p = cut(p.where((F.col("shared") / F.col("least") >= 0.5) & (one | two)).select("c1", "c2", "shared", one.alias("one"), two.alias("two")), "class-pairs")
+    side = lambda s: classes.select(F.col("c").alias("c" + s), F.col("lt").alias("l" + s), F.col("at").alias("t" + s))
+    exact = (F.col("one") & (T.jaccard(F.col("t1"), F.col("t2")) >= 0.14)) | (F.col("two") & (T.jaccard(F.col("l1"), F.col("l2")) >= 0.16))
+    hits = cut(p.join(side("1"), "c1").join(side("2"), "c2").where(exact).select("c1", "c2", "shared"), "class-hits")
+    ends = lambda s: own.select(F.col("c").alias("c" + s), F.col("frame_id").alias("f" + s), F.col("document_id").alias("d" + s))
+    j = hits.join(ends("1"), "c1").join(ends("2"), "c2").where((F.col("d1") != F.col("d2")) & ((F.col("c1") != F.col("c2")) | (F.col("f1") < F.col("f2"))))
+    return j.select(F.least("f1", "f2").alias("a"), F.greatest("f1", "f2").alias("b"), "shared")
 
 
 def frame_families(frames: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from strandline.functions import text as T
-from strandline.operators import maps, similarity
+from strandline.operators import frames, maps, similarity
 from strandline.plans import registry
 
 from .test_queries import plain
@@ -57,3 +57,39 @@ def test_few_pairs_leave_the_join_of_prefixes(spark):
     rows = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "rid long, s array<long>").select("rid", F.transform("s", lambda t: F.xxhash64(t)).alias("h"))
     got = {tuple(x) for x in similarity.near_sets(similarity.heads(rows, 0.72), 0.72).collect()}
     assert near <= got and len(got) <= 2 * len(near)
+
+
+def frame_rows(spark, r, n):
+    """Frames over few nodes, one in nearly all; some frames are the same in several documents, some have no anchors."""
+    rows = []
+    for i in range(n):
+        q = random.Random(i % 9) if i % 3 == 0 else r
+        nodes = {f"n{q.randrange(12)}" for _ in range(q.randint(0, 4))} | {"hub"}
+        anchors = None if q.random() < 0.1 else [f"word{q.randrange(9)}" for _ in range(q.randint(1, 5))]
+        rows.append((f"f{i:03d}", f"d{i // 2}", " ".join(f"word{q.randrange(14)}" for _ in range(q.randint(0, 6))), anchors, [(x, q.random() < 0.5) for x in sorted(nodes)]))
+    f = spark.createDataFrame([x[:4] for x in rows], "frame_id string, document_id string, label string, anchors array<string>")
+    return rows, f, spark.createDataFrame([(x[0], *m) for x in rows for m in x[4]], "frame_id string, node_id string, anchor boolean")
+
+
+def test_frame_pairs_lose_nothing(spark):
+    jaccard = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    rows, f, m = frame_rows(spark, random.Random(5), 120)
+    want = set()
+    for x, y in itertools.combinations(rows, 2):
+        a, b = dict(x[4]), dict(y[4])
+        shared = set(a) & set(b)
+        one = x[3] and y[3] and any(a[k] and b[k] for k in shared) and jaccard(set(x[3]), set(y[3])) >= 0.14
+        two = len(shared) >= 2 and jaccard({t for t in x[2].split() if t}, {t for t in y[2].split() if t}) >= 0.16
+        if x[1] != y[1] and len(shared) / min(len(a), len(b)) >= 0.5 and (one or two):
+            want.add((x[0], y[0], len(shared)))
+    got = [tuple(p) for p in frames.frame_pairs(f, m).collect()]
+    assert set(got) == want and len(got) == len(want) and len(want) > 100
+
+
+def test_frames_alike_meet_once(spark, monkeypatch):
+    """Three hundred copies of one frame are one class: one pair of it is compared, and all of theirs come out."""
+    f = spark.range(300).select(F.format_string("f%03d", "id").alias("frame_id"), F.col("id").cast("string").alias("document_id"), F.lit("same words here").alias("label"), F.array(F.lit("same"), F.lit("words")).alias("anchors"))
+    written = {}
+    monkeypatch.setattr(frames, "cut", lambda df, name, cut=frames.cut: written.setdefault(name, cut(df, name)))
+    assert frames.frame_pairs(f, f.select("frame_id", F.lit("k").alias("node_id"), F.lit(True).alias("anchor"))).count() == 300 * 299 // 2
+    assert written["class-pairs"].count() == 1
