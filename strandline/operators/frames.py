@@ -131,6 +131,7 @@ def frame_pairs(frames: DataFrame, members: DataFrame) -> DataFrame:
 
 def frame_families(frames: DataFrame, pairs: DataFrame) -> DataFrame:
     """(frame_id, family, size) of frames that aligned pairs connect; cohesion counts shared nodes, each pair both ways."""
+    pairs = cut(pairs, "frame-pairs")  # read by the components and by the sums
     c = connected(pairs, "a", "b").select(F.col("node").alias("frame_id"), F.col("root").alias("family"))
     size = c.groupBy("family").agg(F.count("*").alias("size"))
     inner = pairs.join(c.withColumnRenamed("frame_id", "a"), "a").groupBy("family").agg((2 * F.sum("shared")).alias("cohesion"))
