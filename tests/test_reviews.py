@@ -4,11 +4,11 @@ import os
 
 from pyspark.sql import functions as F
 
-from strandline.operators import corpus, resolve
+from strandline.operators import corpus, families, resolve
 from strandline.plans import graph as Q
 from strandline.plans import registry, storage
 
-from .test_brute_force import DATA
+from .test_brute_force import DATA, as_frames, made_up
 
 
 def tables(spark):
@@ -43,3 +43,12 @@ def test_nodes_of_candidates(spark):
     segments = times.select("segment_id", "document_id", "sequence_index", "time_unix").distinct()
     want, got = resolve.nodes(resolve.claims(times, corpus.timeline(segments))), resolve.nodes_of(times)
     assert {r["node_id"]: r.asDict() for r in got.collect()} == {r["node_id"]: r.asDict() for r in want.collect()}
+
+
+def test_reviews_in_a_scope(spark):
+    """Later passes review pairs with an end in the scope alone, and find of them what a review of all finds."""
+    n, e, d = as_frames(spark, *made_up(2))
+    scope = storage.cut(n.where("node_id < 't:012'").select("node_id"), "scope")
+    ids = {r["node_id"] for r in scope.collect()}
+    want = {tuple(r) for r in families.review_candidates(n, e, d).collect() if r["a"] in ids or r["b"] in ids}
+    assert {tuple(r) for r in families.review_candidates(n, e, d, scope=scope).collect()} == want and want
