@@ -91,42 +91,87 @@ def anchor_nodes(members: DataFrame, k: int = 2) -> DataFrame:
     return s.withColumn("r", r).where(F.col("r") <= k).select("frame_id", "node_id", "support")
 
 
-def _may_reach(a: str, b: str, threshold: float):
+def _may_reach(a: str, b: str, threshold: float, bits: str = ""):
     """Whether two token sets may have a Jaccard similarity of ``threshold``, by their sizes and one bit a token: bits in which they differ are tokens that one lacks."""
     n = F.col("n" + a) + F.col("n" + b)
     need = F.ceil(n * (threshold / (1 + threshold)) - 1e-9)
+    a, b = (bits + x[-1] if bits else x for x in (a, b))
     return n - F.bit_count(F.col("b" + a).bitwiseXOR(F.col("b" + b))) >= 2 * need
 
 
-def frame_pairs(frames: DataFrame, members: DataFrame) -> DataFrame:
-    """(a, b, shared) of frames of different documents that belong together. ``frames``: frame_id, document_id, label, anchors; ``members``: frame_id, node_id, anchor (boolean).
+#: Members of a class that are listed in one row.
+LISTED = 1000
+
+
+def _classes(frames: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Frames with the same nodes, label tokens and anchors as one class: their sets (c, k, n, nodes, anchored, lt, at and bits), and their members (c, frame_id, document_id). Written.
 
-    Both rules need a shared node, so pairs come from an equi-join on it. Frames with the same nodes, label tokens and anchors are one class until
-    the end; classes whose tokens cannot be near enough for either rule do not leave the join, and the tokens of the rest are compared after.
+    Nodes are numbers, in ascending order of how many classes have them. Frames without a document pair with none and are left out.
     """
     m = members.groupBy("frame_id", "node_id").agg(F.bool_or("anchor").alias("anchor"))
     sets = m.groupBy("frame_id").agg(F.array_sort(F.collect_list(F.struct("node_id", "anchor"))).alias("nodes"))
     unique = lambda c: F.array_sort(F.array_distinct(c))
-    f = frames.join(sets, "frame_id").select("frame_id", "document_id", "nodes", unique(T.tokens(F.col("label"), T.ALIGN_STOP)).alias("lt"), unique(F.col("anchors")).alias("at"))
+    f = frames.where("document_id IS NOT NULL").join(sets, "frame_id").select("frame_id", "document_id", "nodes", unique(T.tokens(F.col("label"), T.ALIGN_STOP)).alias("lt"), unique(F.col("anchors")).alias("at"))
     f = cut(f.withColumn("like", F.unhex(F.md5(F.to_json(F.struct("nodes", "lt", "at"))))).withColumn("rid", F.monotonically_increasing_id()), "frames")
     first = lambda c: F.first(c).alias(c)
     classes = cut(f.groupBy("like").agg(F.min("rid").alias("c"), F.count("*").alias("k"), first("nodes"), first("lt"), first("at")), "frame-classes")
     own = cut(f.select("like", "frame_id", "document_id").join(classes.select("like", "c"), "like").select("c", "frame_id", "document_id"), "class-members")
+
+    rows = classes.select("c", F.explode("nodes").alias("node")).select("c", "node.node_id", "node.anchor")
+    numbers = cut(rows.groupBy("node_id").agg(F.count("*").alias("p")).withColumn("i", F.monotonically_increasing_id()), "node-numbers")
+    listed = rows.join(numbers, "node_id").groupBy("c").agg(F.array_sort(F.collect_list(F.struct("p", "i", "anchor"))).alias("ns"))
     bits = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda x, t: x.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(t), F.lit(64)).cast("int"))))
-    rows = classes.select("c", "k", F.size("nodes").alias("n"), F.size("lt").alias("nl"), F.size("at").alias("na"), bits("lt").alias("bl"), bits("at").alias("ba"), F.explode("nodes").alias("node"))
-    rows = cut(rows.select("c", "k", "n", "nl", "na", "bl", "ba", "node.node_id", "node.anchor"), "class-nodes")
-    x, y = (rows.select("node_id", *(F.col(c).alias(c + s) for c in rows.columns if c != "node_id")) for s in "12")
-    near1, near2 = F.coalesce(_may_reach("a1", "a2", 0.14), F.lit(False)), F.coalesce(_may_reach("l1", "l2", 0.16), F.lit(False))
-    met = x.join(y, "node_id").where(((F.col("c1") < F.col("c2")) | ((F.col("c1") == F.col("c2")) & (F.col("k1") > 1))) & (near1 | near2))
-    p = met.groupBy("c1", "c2").agg(F.count("*").alias("shared"), F.count_if(F.col("anchor1") & F.col("anchor2")).alias("anchors"), F.first(F.least("n1", "n2")).alias("least"), F.first(near1).alias("near1"), F.first(near2).alias("near2"))
-    one, two = (F.col("anchors") >= 1) & F.col("near1"), (F.col("shared") >= 2) & F.col("near2")
-    p = cut(p.where((F.col("shared") / F.col("least") >= 0.5) & (one | two)).select("c1", "c2", "shared", one.alias("one"), two.alias("two")), "class-pairs")
-    side = lambda s: classes.select(F.col("c").alias("c" + s), F.col("lt").alias("l" + s), F.col("at").alias("t" + s))
-    exact = (F.col("one") & (T.jaccard(F.col("t1"), F.col("t2")) >= 0.14)) | (F.col("two") & (T.jaccard(F.col("l1"), F.col("l2")) >= 0.16))
-    hits = cut(p.join(side("1"), "c1").join(side("2"), "c2").where(exact).select("c1", "c2", "shared"), "class-hits")
-    ends = lambda s: own.select(F.col("c").alias("c" + s), F.col("frame_id").alias("f" + s), F.col("document_id").alias("d" + s))
-    j = hits.join(ends("1"), "c1").join(ends("2"), "c2").where((F.col("d1") != F.col("d2")) & ((F.col("c1") != F.col("c2")) | (F.col("f1") < F.col("f2"))))
-    return j.select(F.least("f1", "f2").alias("a"), F.greatest("f1", "f2").alias("b"), "shared")
+    ids = lambda c: F.transform(c, lambda x: x["i"])
+    s = listed.select("c", F.size("ns").alias("n"), ids(F.col("ns")).alias("nodes"), ids(F.filter("ns", lambda x: x["anchor"])).alias("anchored")).join(classes.select("c", "k", "lt", "at"), "c")
+    sizes = {"nl": F.size("lt"), "na": F.size("at"), "bn": bits("nodes"), "ba": bits("anchored"), "bl": bits("lt"), "bt": bits("at")}
+    return cut(s.withColumns(sizes), "class-sets"), own
+
+
+def _near_classes(sets: DataFrame) -> DataFrame:
+    """(c1, c2) of different classes that may belong together; written.
+
+    The class of fewer nodes shares half of them, so one of its ``n - ceil(n / 2) + 1`` rarest: those alone meet the nodes of all others. Places and bits
+    bound what two classes can share, and must allow one rule at least, before a pair leaves the join.
+    """
+    cols = ["c", "n", "bn", "ba", "nl", "bl", "na", "bt"]
+    rows = sets.select(*cols, F.posexplode("nodes").alias("pos", "node"))
+    side = lambda s, df: df.select("node", *(F.col(c).alias(c + s) for c in [*cols, "pos"]))
+    x, y = side("1", rows.where("pos <= n - ceil(n / 2)")), side("2", rows)
+    smaller = (F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("c1") < F.col("c2")))
+    most = F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2"), F.col("n1") - F.bit_count(F.col("bn1").bitwiseAND(F.bitwise_not("bn2"))))
+    one = (F.col("ba1").bitwiseAND(F.col("ba2")) != 0) & F.coalesce(_may_reach("a1", "a2", 0.14, "t"), F.lit(False))
+    two = (most >= 2) & F.coalesce(_may_reach("l1", "l2", 0.16), F.lit(False))
+    return cut(x.join(y, "node").where(smaller & (2 * most >= F.col("n1")) & (one | two)).select("c1", "c2").distinct(), "class-near")
+
+
+def _alike(sets: DataFrame) -> DataFrame:
+    """(c1, c2, shared) of classes whose frames belong together, c1 < c2, and c1 = c2 of classes with several; written. A class that pairs with any pairs with itself."""
+    side = lambda s: sets.select(*(F.col(c).alias(c + s) for c in ("c", "n", "nodes", "anchored", "lt", "at")))
+    p = _near_classes(sets).join(side("1"), "c1").join(side("2"), "c2").withColumn("shared", F.size(F.array_intersect("nodes1", "nodes2")).cast("long"))
+    one = F.arrays_overlap("anchored1", "anchored2") & (T.jaccard(F.col("at1"), F.col("at2")) >= 0.14)
+    two = (F.col("shared") >= 2) & (T.jaccard(F.col("lt1"), F.col("lt2")) >= 0.16)
+    hits = p.where((F.col("shared") / F.least("n1", "n2") >= 0.5) & (one | two)).select(F.least("c1", "c2").alias("c1"), F.greatest("c1", "c2").alias("c2"), "shared")
+    own = sets.where("k > 1 AND (size(anchored) > 0 AND at IS NOT NULL OR n >= 2 AND lt IS NOT NULL)").select(F.col("c").alias("c1"), F.col("c").alias("c2"), F.col("n").cast("long").alias("shared"))
+    return cut(hits.unionByName(own), "class-pairs")
+
+
+def frame_pairs(frames: DataFrame, members: DataFrame) -> DataFrame:
+    """(a, b, shared) of frames of different documents that belong together. ``frames``: frame_id, document_id, label, anchors; ``members``: frame_id, node_id, anchor (boolean).
+
+    Classes of frames alike are compared; their members are listed, in parts of ``LISTED``, and meet where the result is made, so no pair of frames is shuffled.
+    """
+    sets, own = _classes(frames, members)
+    hits = _alike(sets)
+    k = sets.select("c", "k")
+    pairs = hits.join(k.select(F.col("c").alias("c1"), F.col("k").alias("k1")), "c1").join(k.select(F.col("c").alias("c2"), F.col("k").alias("k2")), "c2").agg(F.sum(F.col("k1") * F.col("k2"))).first()[0] or 0
+    part = ((F.row_number().over(Window.partitionBy("c").orderBy("frame_id")) - 1) / LISTED).cast("int")
+    lists = cut(own.withColumn("part", part).groupBy("c", "part").agg(F.collect_list(F.struct("frame_id", "document_id")).alias("fs")), "class-lists")
+    ends = lambda s: lists.select(*(F.col(c).alias(c + s) for c in lists.columns))
+    met = hits.join(ends("1"), "c1").join(ends("2"), "c2").where("c1 < c2 OR part1 <= part2")
+    met = met.repartition(max(frames.sparkSession.sparkContext.defaultParallelism, min(2000, pairs // 200_000)), "c1", "part1", "c2", "part2")
+    j = met.select("c1", "c2", "part1", "part2", "shared", "fs2", F.explode("fs1").alias("x")).select("*", F.explode("fs2").alias("y"))
+    j = j.where("x.document_id <> y.document_id AND (c1 < c2 OR part1 < part2 OR x.frame_id < y.frame_id)")
+    return j.select(F.least("x.frame_id", "y.frame_id").alias("a"), F.greatest("x.frame_id", "y.frame_id").alias("b"), "shared")
 
 
 def frame_families(frames: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from ..operators import audit, frames, incremental, resolve, retrieval
+from ..operators import audit, corpus, frames, incremental, resolve, retrieval
 from ..streaming import events as S
 from . import base, graph, ingest
 from .storage import cut
@@ -112,9 +112,10 @@ def anchor_tokens(spark, sf_dir):
 
 
 def _frames(spark, sf_dir):
-    c = graph._cands(spark, sf_dir).where("source_kind = 'writing'")
+    """Frames, their nodes and these nodes' support; of the writings' candidates only what frames need is written."""
+    c = resolve.candidates(corpus.writing_segments(base.writings(spark, sf_dir), r"\n"))
     fid = F.concat_ws(":", F.lit("frame"), "document_id", (F.col("sequence_index") % 3).cast("string"))
-    m = c.select(fid.alias("frame_id"), "document_id", F.col("canonical_key").alias("node_id"), F.when(F.col("node_type") == "question", "question").when(F.col("ord") == 0, "main_claim").otherwise("subclaim").alias("role"), "claim", "sequence_index", "ord")
+    m = cut(c.select(fid.alias("frame_id"), "document_id", F.col("canonical_key").alias("node_id"), F.when(F.col("node_type") == "question", "question").when(F.col("ord") == 0, "main_claim").otherwise("subclaim").alias("role"), "claim", "sequence_index", "ord"), "frame-claims")
     labels = m.groupBy("frame_id", "document_id").agg(F.min_by("claim", F.struct("sequence_index", "ord")).alias("label"))
     anchors = frames.anchor_tokens(m.select("frame_id", F.col("claim").alias("text")), ["frame_id"])
     support = frames.anchor_nodes(m.groupBy("frame_id", "node_id", "role").agg(F.count("*").alias("n")))

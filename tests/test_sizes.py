@@ -93,3 +93,11 @@ def test_frames_alike_meet_once(spark, monkeypatch):
     monkeypatch.setattr(frames, "cut", lambda df, name, cut=frames.cut: written.setdefault(name, cut(df, name)))
     assert frames.frame_pairs(f, f.select("frame_id", F.lit("k").alias("node_id"), F.lit(True).alias("anchor"))).count() == 300 * 299 // 2
     assert written["class-pairs"].count() == 1
+
+
+def test_frames_that_share_a_hub_alone_do_not_leave_the_join(spark):
+    """Frames of four nodes share one that all have: half of them would have to be shared."""
+    f = spark.range(200).select(F.format_string("f%03d", "id").alias("frame_id"), F.col("id").cast("string").alias("document_id"), F.lit("same words here").alias("label"), F.array(F.lit("same"), F.lit("words")).alias("anchors"))
+    m = f.select("frame_id", F.explode(F.array(F.lit("hub"), *(F.concat("frame_id", F.lit(x)) for x in "abc"))).alias("node_id")).withColumn("anchor", F.col("node_id") == "hub")
+    sets, _ = frames._classes(f, m)
+    assert sets.count() == 200 and frames._near_classes(sets).count() == 0
