@@ -174,6 +174,29 @@ def frame_pairs(frames: DataFrame, members: DataFrame) -> DataFrame:
     return j.select(F.least("x.frame_id", "y.frame_id").alias("a"), F.greatest("x.frame_id", "y.frame_id").alias("b"), "shared")
 
 
+def aligned_families(frames: DataFrame, members: DataFrame) -> DataFrame:
+    """``frame_families`` of the pairs that ``frame_pairs`` finds, by classes, without making these pairs.
+
+    All frames of two classes that belong together are in one family unless both classes have one and the same document only: one of them has two documents or they have
+    different ones, and a class with two documents is linked within itself. Cohesion counts a pair of classes as often as it has frames of different documents.
+    """
+    sets, own = _classes(frames, members)
+    hits = _alike(sets)
+    per = cut(own.groupBy("c").agg(F.count("*").alias("k"), F.min("document_id").alias("lo"), F.max("document_id").alias("hi"), F.min("frame_id").alias("low")), "class-documents")
+    ends = lambda s: per.select(*(F.col(c).alias(c + s) for c in ("c", "k", "lo", "hi")))
+    linked = hits.join(ends("1"), "c1").join(ends("2"), "c2").where("least(lo1, lo2) <> greatest(hi1, hi2)")
+    linked = cut(linked.select("c1", "c2", "shared", "k1", "k2"), "class-links")
+    within = own.groupBy("document_id", "c").agg(F.count("*").alias("m"))
+    x, y = (within.select("document_id", F.col("c").alias("c" + s), F.col("m").alias("m" + s)) for s in "12")
+    same = x.join(y, "document_id").where("c1 <= c2").groupBy("c1", "c2").agg(F.sum(F.col("m1") * F.col("m2")).alias("same"))
+    times = F.col("k1") * F.col("k2") - F.coalesce("same", F.lit(0))  # of a class with itself each pair is counted twice here already
+    sums = linked.join(same, ["c1", "c2"], "left").select(F.col("c1").alias("c"), (F.col("shared") * times * F.when(F.col("c1") == F.col("c2"), 1).otherwise(2)).alias("cohesion"))
+    c = cut(connected(linked, "c1", "c2").select(F.col("node").alias("c"), "root"), "class-components")
+    totals = c.join(sums.groupBy("c").agg(F.sum("cohesion").alias("cohesion")), "c", "left").join(per.select("c", "k", "low"), "c")
+    totals = totals.groupBy("root").agg(F.min("low").alias("family"), F.sum("k").alias("size"), F.coalesce(F.sum("cohesion"), F.lit(0)).alias("cohesion"))
+    return own.join(c.join(totals, "root"), "c").select("frame_id", "family", "size", "cohesion")
+
+
 def frame_families(frames: DataFrame, pairs: DataFrame) -> DataFrame:
     """(frame_id, family, size) of frames that aligned pairs connect; cohesion counts shared nodes, each pair both ways."""
     pairs = cut(pairs, "frame-pairs")  # read by the components and by the sums

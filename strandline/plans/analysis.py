@@ -134,7 +134,7 @@ def frame_pairs(spark, sf_dir):
 
 def frame_families(spark, sf_dir):
     f, m, _ = _frames(spark, sf_dir)
-    return frames.frame_families(f, frames.frame_pairs(f, m))
+    return frames.aligned_families(f, m)
 
 
 def _snapshots(spark, sf_dir):

@@ -95,6 +95,24 @@ def test_frames_alike_meet_once(spark, monkeypatch):
     assert written["class-pairs"].count() == 1
 
 
+def test_families_need_no_pairs(spark, monkeypatch):
+    """Families of classes are those of their frames' pairs, also of frames that are alike in one document, and no pair of copies is made for them."""
+    _, f, m = frame_rows(spark, random.Random(6), 90)
+    more = f.where("frame_id < 'f030'").selectExpr("concat('x', frame_id) AS frame_id", "document_id", "label", "anchors")
+    f, m = f.unionByName(more), m.unionByName(m.where("frame_id < 'f030'").selectExpr("concat('x', frame_id) AS frame_id", "node_id", "anchor"))
+    alone = spark.createDataFrame([(f"y{i}", "d999", "lonely words", ["lonely", "words"]) for i in range(3)] + [(f"z{i}", None, "same words", ["same"]) for i in range(2)], f.schema)
+    f, m = f.unionByName(alone), m.unionByName(alone.selectExpr("frame_id", "'lonely' AS node_id", "true AS anchor"))
+    want = sorted(map(tuple, frames.frame_families(f, frames.frame_pairs(f, m)).collect()))
+    assert sorted(map(tuple, frames.aligned_families(f, m).collect())) == want and len(want) > 100
+    copies = spark.range(2500).select(F.format_string("f%04d", "id").alias("frame_id"), F.col("id").cast("string").alias("document_id"), F.lit("same words here").alias("label"), F.array(F.lit("same"), F.lit("words")).alias("anchors"))
+    nodes = copies.select("frame_id", F.lit("k").alias("node_id"), F.lit(True).alias("anchor"))
+    written = {}
+    monkeypatch.setattr(frames, "cut", lambda df, name, cut=frames.cut: written.setdefault(name, cut(df, name)))
+    got = frames.aligned_families(copies, nodes).agg(F.count("*"), F.min("family"), F.max("family"), F.min("size"), F.max("cohesion")).first()
+    assert tuple(got) == (2500, "f0000", "f0000", 2500, 2500 * 2499) and max(t.count() for t in written.values()) == 2500
+    assert frames.frame_pairs(copies, nodes).selectExpr("count(distinct a, b)", "sum(int(a < b))").first() == (2500 * 2499 // 2,) * 2
+
+
 def test_frames_that_share_a_hub_alone_do_not_leave_the_join(spark):
     """Frames of four nodes share one that all have: half of them would have to be shared."""
     f = spark.range(200).select(F.format_string("f%03d", "id").alias("frame_id"), F.col("id").cast("string").alias("document_id"), F.lit("same words here").alias("label"), F.array(F.lit("same"), F.lit("words")).alias("anchors"))
