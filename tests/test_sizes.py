@@ -4,12 +4,14 @@ import itertools
 import random
 
 import duckdb
+import pandas as pd
 from pyspark.sql import functions as F
 
 from strandline.functions import text as T
-from strandline.operators import frames, maps, similarity
+from strandline.operators import families, frames, graph, maps, similarity
 from strandline.plans import registry
 
+from .test_brute_force import as_frames, made_up
 from .test_queries import plain
 
 
@@ -119,3 +121,41 @@ def test_frames_that_share_a_hub_alone_do_not_leave_the_join(spark):
     m = f.select("frame_id", F.explode(F.array(F.lit("hub"), *(F.concat("frame_id", F.lit(x)) for x in "abc"))).alias("node_id")).withColumn("anchor", F.col("node_id") == "hub")
     sets, _ = frames._classes(f, m)
     assert sets.count() == 200 and frames._near_classes(sets).count() == 0
+
+
+def test_wide_tables_are_not_sent_to_all_workers(spark):
+    """Few rows, but 20 MB of words; the same rows with short words are light."""
+    wide = spark.range(1000).select("id", F.array_repeat(F.repeat(F.lit("w"), 1000), 20).alias("s"))
+    assert not similarity.is_light(wide) and not similarity.is_light(wide.select(F.array_join("s", "").alias("x")))
+    assert similarity.is_light(wide.select("id", F.array(F.lit("w"), F.lit(None)).alias("s"))) and similarity.is_light(wide.where("id < 0"))
+    assert "hint" not in similarity.light(wide)._jdf.queryExecution().analyzed().toString().lower()
+
+
+def test_stars_come_in_parts(monkeypatch):
+    """A worker gives its stars once it holds so many nodes, and what they link is what the edges link."""
+    monkeypatch.setattr(graph, "HELD", 10)
+    r, most = random.Random(7), []
+    edges = [(r.randrange(60), r.randrange(60)) for _ in range(60)]
+    batches = (pd.DataFrame(edges[k : k + 5], columns=["a", "b"]) for k in range(0, 60, 5))
+    got = [(a, b) for part in graph._stars(batches) for a, b in (most.append(len(part)) or part.itertuples(index=False))]
+    assert max(most) < 20 and len(most) > 3
+
+    def groups(pairs):
+        root = {x: x for p in edges for x in p}
+        for _ in root:
+            for a, b in pairs:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    assert groups(got) == groups(edges)
+
+
+def test_passes_that_merge_much_are_written(spark, monkeypatch):
+    """What is read after a pass with a mapping that is not light is a table, without the joins of the pass; the outcome is the same."""
+    inputs = as_frames(spark, *made_up(3, 30))
+    accepted = families.accepts(families.review_candidates(*inputs)).where("accepted").select("a", "b")
+    want = [sorted(map(str, t.collect())) for t in families.apply_reviews(*inputs, accepted)]
+    monkeypatch.setattr(similarity, "LIGHT_BYTES", 0)
+    got = families.apply_reviews(*inputs, accepted)
+    assert [sorted(map(str, t.collect())) for t in got] == want
+    assert all("Join" not in t._jdf.queryExecution().optimizedPlan().toString() for t in got[:3])
